@@ -14,18 +14,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import durable, narrow, parts_for
+from tessera.llm.shared import durable, fresh_dir, narrow, parts_for
 
 #: Bytes of text in a batch; a longer text is a batch of its own.  Raise it with the input (64 MB at 100 TB), so that rows between batches and parts stay worth their overhead.
 BATCH_BYTES = 1 << 20
 #: Bytes of keys in a part.
 PART_BYTES = 12 << 20
 
-BATCH_SCHEMA = "batch long, ids array<long>, sizes array<long>, blob binary, n_bytes long"
+BATCH_SCHEMA = "batch long, ids array<long>, sizes array<long>, blob binary, place string, n_bytes long"
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -56,12 +57,17 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
         yield ids, texts, more
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, keep: list[str] = ()) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, keep: list[str] = (), apart: bool = False) -> DataFrame:
     """Durable batches of compressed texts; null texts become empty, null ids stay null.
 
-    Columns named in ``keep`` travel along as ``rest``, an array of structs.
+    Columns named in ``keep`` travel along as ``rest``, an array of structs.  With ``apart`` the
+    compressed texts go to files in the shared folder and the rows hold their place there, so that
+    several rounds of answers can join the batches without shuffling texts; ``shared.release``
+    removes the files.  A file's name has its task attempt in it, and rows name the attempt that
+    made them.
     """
     limit = limit or BATCH_BYTES
+    folder = fresh_dir(docs.sparkSession, "texts") if apart else ""
     rows = narrow(docs, id_col, text_col)
     if keep:
         rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(*(docs[c] for c in keep)).alias("rest"))
@@ -75,26 +81,45 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
                 kind = b.schema.field("rest").type if keep else None
                 yield b
 
-        kind = None
+        kind, out, at = None, None, 0
         for ids, texts, more in grouped_rows(typed(), limit):
             raw = b"".join(texts)
+            blob = squeeze.compress(raw)
+            place = ""
+            if apart:
+                if out is None:
+                    task = TaskContext.get()
+                    name = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}"
+                    store, path = pafs.FileSystem.from_uri(name)
+                    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(path)
+                out.write(blob)
+                place, at, blob = f"{at}:{len(blob)}:{name}", at + len(blob), b""
             columns = [
                 pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([squeeze.compress(raw)], pa.binary()),
+                pa.array([blob], pa.binary()),
+                pa.array([place], pa.string()),
                 pa.array([len(raw)], pa.int64()),
             ]
             if keep:
                 columns.append(pa.array([more], pa.list_(kind)))
-            yield pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "sizes", "blob", "n_bytes", *(["rest"] if keep else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "sizes", "blob", "place", "n_bytes", *(["rest"] if keep else [])])
             k += 1
+        if out is not None:
+            out.close()
 
     schema = BATCH_SCHEMA + (f", rest array<{rows.schema['rest'].dataType.simpleString()}>" if keep else "")
     return durable(rows.mapInArrow(run, schema))
 
 
-def unpack(sizes: list[int], blob: bytes) -> list[bytes]:
+def unpack(sizes: list[int], blob: bytes, place: str) -> list[bytes]:
+    if place:
+        start, size, name = place.split(":", 2)
+        store, path = pafs.FileSystem.from_uri(name)
+        with store.open_input_file(path) as f:
+            blob = f.read_at(int(size), int(start))
     raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, sum(sizes)))
     at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     return [raw[at[i] : at[i + 1]] for i in range(len(sizes))]
@@ -116,7 +141,7 @@ def batch_rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[b
             row = {n: b.column(n)[i].as_py() for n in names}
             if "rest" in b.schema.names:
                 row["rest"] = b.column("rest")[i].values
-            yield row["batch"], row["ids"], unpack(row["sizes"], row["blob"]), row
+            yield row["batch"], row["ids"], unpack(row["sizes"], row["blob"], row["place"]), row
 
 
 def split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:

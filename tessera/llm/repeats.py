@@ -6,7 +6,8 @@ a right half), so equal substrings get equal interior symbols in whatever docume
 levels are used.  Shared phrases of high-level symbols show long repeats at once: every window inside
 one is a repeat.  Low-level symbols serve as anchors for what is left: each window has a longest
 interior symbol that its words alone determine, and only windows whose anchor occurs elsewhere are
-hashed and verified against each other.
+hashed and verified against each other; where a phrase has shown a repeat, one occurrence stands for
+all of them.
 
 Names are content hashes, so they agree between executors without a dictionary.
 
@@ -95,31 +96,32 @@ class Parsed:
         symbols.runs()
         for r in range(ANCHOR_ROUNDS):
             symbols.pairs(r)
-        self._anchors(symbols)
+        self.low_name, self.low_start = symbols.name, symbols.start
         for r in range(ANCHOR_ROUNDS, PHRASE_ROUNDS):
             symbols.pairs(r)
         self._phrases(symbols, last)
 
-    def _anchors(self, symbols: Symbols) -> None:
+    def anchors(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors of the windows at ``p``, whether each stands inside them more than once, and each window's anchor number."""
+        if not len(p):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint8), p
         n = len(self.words)
-        size = np.diff(np.append(symbols.start, n))
+        size = np.diff(np.append(self.low_start, n))
         # longer symbols first: they are shared by chance less often
-        key = (2**REACH.bit_length() - 1 - size).astype(np.uint64) << np.uint64(60) | mix(symbols.name, 61) >> np.uint64(4)
+        key = (15 - size).astype(np.uint64) << np.uint64(60) | mix(self.low_name, 61) >> np.uint64(4)
         mark = np.zeros(n + 2, dtype=np.int64)
-        mark[symbols.start + 1] = 1
+        mark[self.low_start + 1] = 1
         before = np.cumsum(mark)  # symbols that start before a word
-        low = before[self.p + REACH]
-        high = np.where(self.p + self.window - REACH >= n, len(key), before[np.minimum(self.p + self.window - REACH + 1, n + 1)] - 1)
-        self.anchor = range_min(key, low, high)
-        run = np.append(True, self.anchor[1:] != self.anchor[:-1]) if len(self.anchor) else np.zeros(0, bool)
-        self.anchor_run = np.cumsum(run) - 1
-        self.anchor_keys, self.anchor_at, _ = first_of(self.anchor[run])
-        if len(self.anchor_keys):
-            at = np.searchsorted(self.anchor_keys, key).clip(0, len(self.anchor_keys) - 1)
-            hit = self.anchor_keys[at] == key
-            self.anchor_many = (np.bincount(at[hit], minlength=len(self.anchor_keys)) > 1).astype(np.uint8)
-        else:
-            self.anchor_many = np.zeros(0, np.uint8)
+        smallest = range_min(key, before[p + REACH], before[p + self.window - REACH + 1] - 1)
+        new = np.append(True, smallest[1:] != smallest[:-1])
+        distinct, at, _ = first_of(smallest[new])
+        edge = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(edge, p + REACH, 1)
+        np.add.at(edge, p + self.window - REACH, -1)
+        key = key[(np.cumsum(edge[:-1]) > 0)[self.low_start]]
+        place = np.searchsorted(distinct, key).clip(0, len(distinct) - 1)
+        many = np.bincount(place[distinct[place] == key], minlength=len(distinct)) > 1
+        return mix(distinct, 64), many.astype(np.uint8), at[np.cumsum(new) - 1]  # mixed, as parts go by the upper bits
 
     def _phrases(self, symbols: Symbols, last: np.ndarray) -> None:
         n = len(self.words)
@@ -133,61 +135,67 @@ class Parsed:
         self.phrase_keys, self.phrase_at, count = first_of(self.slices.hash(start[ok], end[ok], 62))
         self.phrase_many = (count > 1).astype(np.uint8)
 
-    def channels(self) -> list:
-        mixed = mix(self.anchor_keys, 64)  # keys carry lengths in their upper bits; parts go by the upper bits
-        return [(mixed, [mixed, self.anchor_many]), (self.phrase_keys, [self.phrase_keys, self.phrase_many])]
-
     def _mark(self, phrases: np.ndarray) -> np.ndarray:
         edge = np.zeros(len(self.words) + 1, dtype=np.int64)
         np.add.at(edge, self.phrase_from[phrases], 1)
         np.add.at(edge, self.phrase_until[phrases], -1)
         return np.cumsum(edge[:-1]) > 0
 
-    def settle(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(windows known as repeats, windows to verify, their distinct hashes, the hash of each)."""
-        channels = self.channels()
-        anchors, phrases = told([c[0] for c in channels], row, "symbols")
-        shared = (phrases & 1 == 1)[self.phrase_at] if len(self.phrase_at) else np.zeros(0, bool)
+    def known(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Windows known as repeats, and where those start that others can be verified against.
+
+        One occurrence of each shared phrase stands for the rest of them there.
+        """
+        (bits,) = told([self.phrase_keys], row, "phrases")
+        if not len(self.phrase_at):
+            return np.zeros(len(self.words), dtype=bool), self.p
+        shared = (bits & 1 == 1)[self.phrase_at]
+        _, first = np.unique(self.phrase_at, return_index=True)
         owner = np.zeros(len(self.phrase_at), dtype=bool)
-        if len(self.phrase_at):
-            _, first = np.unique(self.phrase_at, return_index=True)
-            owner[first] = (phrases & 2 == 2)[self.phrase_at[first]]
-        known = self._mark(shared)
-        # one occurrence of each shared phrase stands for it where other windows are verified
-        aside = self._mark(shared & ~owner)
-        if not len(self.p):
-            return known, self.p, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        maybe = self.p[(anchors & 1 == 1)[self.anchor_at][self.anchor_run] & ~aside[self.p]]
+        owner[first] = bits & 2 == 2
+        return self._mark(shared), self.p[~self._mark(shared & ~owner)[self.p]]
+
+    def candidates(self, row: dict):
+        """(repeats so far, windows to verify, the number of each one's hash, distinct hashes, whether each occurs here twice)."""
+        hit, p = self.known(row)
+        keys, _, at = self.anchors(p)
+        (bits,) = told([keys], row, "anchors")
+        maybe = p[(bits & 1 == 1)[at]] if len(p) else p
         keys, at, count = first_of(self.slices.hash(maybe, maybe + self.window, 63))
-        self.window_many = (count > 1).astype(np.uint8)
-        return known, maybe, keys, at
+        return hit, maybe, at, keys, (count > 1).astype(np.uint8)
 
 
 def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, text``: words covered by a window that starts anywhere else too are gone."""
     if window < 4 * REACH:
         raise ValueError(f"windows have {4 * REACH} words at least")
-    batches = pack(docs, id_col, text_col)
+    batches = pack(docs, id_col, text_col, apart=True)
+
+    def ask_phrases(ids, texts, row):
+        x = Parsed(texts, window)
+        return [(x.phrase_keys, [x.phrase_keys, x.phrase_many])]
 
-    def answer(got):
-        columns = [shared_keys([g[k] for g in got]) for k in range(len(got[0]))]
-        return [list(x) for x in zip(*columns, strict=True)]
+    def ask_anchors(ids, texts, row):
+        x = Parsed(texts, window)
+        keys, many, _ = x.anchors(x.known(row)[1])
+        return [(keys, [keys, many])]
 
-    symbols = route(batches, lambda ids, texts, row: Parsed(texts, window).channels(), answer, [["<u8", "u1"], ["<u8", "u1"]], 0.5, "symbols")
+    def ask_windows(ids, texts, row):
+        _, _, _, keys, many = Parsed(texts, window).candidates(row)
+        return [(keys, [keys, many])]
 
-    def verify(ids, texts, row):
-        parsed = Parsed(texts, window)
-        _, _, keys, _ = parsed.settle(row)
-        return [(keys, [keys, parsed.window_many if len(keys) else np.zeros(0, np.uint8)])]
+    def shared(got):
+        return [[x] for x in shared_keys([g[0] for g in got])]
 
-    windows = route(with_answers(batches, symbols), verify, answer, [["<u8", "u1"]], 0.5, "windows")
+    phrases = route(batches, ask_phrases, shared, [["<u8", "u1"]], 0.2, "phrases")
+    anchors = route(with_answers(batches, phrases), ask_anchors, shared, [["<u8", "u1"]], 0.2, "anchors")
+    windows = route(with_answers(batches, phrases, anchors), ask_windows, shared, [["<u8", "u1"]], 0.3, "windows")
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, texts, row in batch_rows(it):
             parsed = Parsed(texts, window)
-            known, maybe, keys, at = parsed.settle(row)
+            hit, maybe, at, keys, _ = parsed.candidates(row)
             (bits,) = told([keys], row, "windows")
-            hit = known
             if len(maybe):
                 hit[maybe[(bits & 1 == 1)[at]]] = True
             p = np.flatnonzero(hit)
@@ -205,7 +213,7 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parsed.joined.n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-    return with_answers(batches, symbols, windows).mapInArrow(finish, "doc_id long, n_words long, n_removed long, text string")
+    return with_answers(batches, phrases, anchors, windows).mapInArrow(finish, "doc_id long, n_words long, n_removed long, text string")
 
 
 def sha256(text: str) -> str:

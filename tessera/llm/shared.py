@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +43,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_folders: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """An unused path below the shared folder, for ``release`` to remove."""
+    _folders.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def release() -> None:
+    """Remove the files that operators of this process wrote beside their results; what has not been computed yet cannot be any more."""
+    while _folders:
+        store, path = pafs.FileSystem.from_uri(_folders.pop())
+        if store.get_file_info(path).type == pafs.FileType.Directory:
+            store.delete_dir(path)
+
+
+atexit.register(release)
 
 
 def parts_for(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:
