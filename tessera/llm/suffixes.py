@@ -7,7 +7,9 @@ string in different batches meet by its hash.
 
 Candidates come first, for not every suffix of a corpus can be sorted: phrases between
 content-defined cuts that occur in a smaller document settle the inside of long matches, and each
-other string is a candidate only if its smallest q-gram (by hash) occurs in another document too.
+string left is a candidate only if its smallest q-gram (by hash) picks a string left in another
+document too.  The smallest document with a string is never settled by a phrase that has the string,
+so it is always among those left.
 
 Cases: a null or empty text has no bytes; a text shorter than ``DEPTH`` keeps all; matches never
 cross documents, and repeats inside one document do not count; rows with the same id are one
@@ -105,29 +107,12 @@ class Parsed:
         room = stop[self.doc] - np.arange(n)
         self.p = np.flatnonzero(room >= depth)
         x = np.arange(max(0, n - GRAM + 1))
-        gram = self.slices.hash(x, x + GRAM, 81) if len(x) else np.zeros(0, np.uint64)
-        self._anchors(gram)
+        self.gram = self.slices.hash(x, x + GRAM, 81) if len(x) else np.zeros(0, np.uint64)
         cut = np.zeros(n, dtype=bool)
-        cut[: len(gram)] = (gram % np.uint64(CUT) == 0) & (room[: len(gram)] >= GRAM)
+        cut[: len(x)] = (self.gram % np.uint64(CUT) == 0) & (room[: len(x)] >= GRAM)
         cut[self.begin[:-1][sizes > 0]] = True
         self._phrases(np.flatnonzero(cut), stop)
 
-    def _anchors(self, gram: np.ndarray) -> None:
-        if not len(self.p):
-            self.run_of = np.zeros(0, np.int64)
-            self.anchor_keys, self.anchor_many, self.anchor_at = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
-            return
-        low = sliding_min(gram, self.depth - GRAM + 1)[self.p]
-        doc = self.doc[self.p]
-        new = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))
-        self.run_of = np.cumsum(new) - 1
-        # the smallest hashes crowd at the low end; mixed again they spread over the parts
-        keys, who = mix(low[new], 82) & ~np.uint64(0xFFFF), doc[new]
-        self.anchor_keys, first, self.anchor_at = np.unique(keys, return_index=True, return_inverse=True)
-        many = np.zeros(len(self.anchor_keys), dtype=bool)
-        np.logical_or.at(many, self.anchor_at, who != who[first][self.anchor_at])
-        self.anchor_many = many.astype(np.uint8)
-
     def _phrases(self, cuts: np.ndarray, stop: np.ndarray) -> None:
         n = len(self.data)
         ends = stop[self.doc[cuts]] if len(cuts) else cuts
@@ -139,53 +124,76 @@ class Parsed:
         self.phrase_from, self.phrase_until = cuts[ok], until[ok]
         self.phrase_keys, self.phrase_low, self.phrase_at = _lowest(self.slices.hash(cuts[ok], end[ok], 83), self.who[self.doc[cuts[ok]]] if len(cuts) else cuts)
 
-    def channels(self) -> list:
-        return [(self.anchor_keys, [self.anchor_keys, self.anchor_many]), (self.phrase_keys, [self.phrase_keys, self.phrase_low])]
-
-    def settle(self, row: dict):
-        """(strings known to start in a smaller document, candidates, the bucket of each, distinct hashes and smallest documents)."""
-        anchors, phrases = told([self.anchor_keys, self.phrase_keys], row, "grams")
-        gone = np.zeros(len(self.data) + 1, dtype=np.int64)
+    def known(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Strings known to start in a smaller document, and where the others start."""
+        (phrases,) = told([self.phrase_keys], row, "phrases")
+        edge = np.zeros(len(self.data) + 1, dtype=np.int64)
         if len(self.phrase_at):
             who = self.who[self.doc[self.phrase_from]]
             dup = (phrases[self.phrase_at] & 1 == 1) | (self.phrase_low[self.phrase_at] < who)
-            np.add.at(gone, self.phrase_from[dup], 1)
-            np.add.at(gone, self.phrase_until[dup], -1)
-        known = np.cumsum(gone[:-1]) > 0
-        if not len(self.p):
-            return known, self.p, self.p, np.zeros(0, np.uint64), np.zeros(0, np.int64), self.p
-        maybe = self.p[(anchors & 1 == 1)[self.anchor_at][self.run_of] & ~known[self.p]]
+            np.add.at(edge, self.phrase_from[dup], 1)
+            np.add.at(edge, self.phrase_until[dup], -1)
+        hit = np.cumsum(edge[:-1]) > 0
+        return hit, self.p[~hit[self.p]]
+
+    def anchors(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors of the strings at ``p``, whether two documents here hold each, and each string's anchor number."""
+        if not len(p):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint8), p
+        low = sliding_min(self.gram, self.depth - GRAM + 1)[p]
+        doc = self.doc[p]
+        new = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))
+        # the smallest hashes crowd at the low end; mixed again they spread over the parts
+        distinct, first, at = np.unique(mix(low[new], 82) & ~np.uint64(0xFFFF), return_index=True, return_inverse=True)
+        who = doc[new]
+        many = np.zeros(len(distinct), dtype=bool)
+        np.logical_or.at(many, at, who != who[first][at])
+        return distinct, many.astype(np.uint8), at[np.cumsum(new) - 1]
+
+    def candidates(self, row: dict):
+        """(hits so far, candidates, the bucket of each, the buckets' hashes and smallest documents)."""
+        hit, p = self.known(row)
+        keys, _, at = self.anchors(p)
+        (bits,) = told([keys], row, "grams")
+        maybe = p[(bits & 1 == 1)[at]] if len(p) else p
         if not len(maybe):
-            return known, maybe, maybe, np.zeros(0, np.uint64), np.zeros(0, np.int64), maybe
-        bucket = refine(self.data, maybe, self.depth)
-        _, first, bucket = np.unique(bucket, return_index=True, return_inverse=True)
+            return hit, maybe, maybe, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        _, first, bucket = np.unique(refine(self.data, maybe, self.depth), return_index=True, return_inverse=True)
         low = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(low, bucket, self.who[self.doc[maybe]])
-        keys = self.slices.hash(maybe[first], maybe[first] + self.depth, 84)
-        return known, maybe, bucket, keys, low, first
+        return hit, maybe, bucket, self.slices.hash(maybe[first], maybe[first] + self.depth, 84), low
 
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, data``: bytes covered by a ``depth``-byte string that a smaller document has too are gone."""
     if depth < GRAM + 8:
         raise ValueError(f"strings have {GRAM + 8} bytes at least")
-    batches = pack(docs, id_col, text_col)
+    batches = pack(docs, id_col, text_col, apart=True)
 
-    def answer(got):
-        return [list(x) for x in zip(shared_keys([g[0] for g in got]), smaller_elsewhere([g[1] for g in got]), strict=True)]
+    def ask_phrases(ids, texts, row):
+        x = Parsed(ids, texts, depth)
+        return [(x.phrase_keys, [x.phrase_keys, x.phrase_low])]
 
-    grams = route(batches, lambda ids, texts, row: Parsed(ids, texts, depth).channels(), answer, [["u6", "u1"], ["<u8", "<i8"]], 0.8, "grams")
+    def ask_grams(ids, texts, row):
+        x = Parsed(ids, texts, depth)
+        keys, many, _ = x.anchors(x.known(row)[1])
+        return [(keys, [keys, many])]
 
-    def verify(ids, texts, row):
-        _, _, _, keys, low, _ = Parsed(ids, texts, depth).settle(row)
+    def ask_strings(ids, texts, row):
+        _, _, _, keys, low = Parsed(ids, texts, depth).candidates(row)
         return [(keys, [keys, low])]
 
-    strings = route(with_answers(batches, grams), verify, lambda got: [[x] for x in smaller_elsewhere([g[0] for g in got])], [["<u8", "<i8"]], 0.8, "strings")
+    def smaller(got):
+        return [[x] for x in smaller_elsewhere([g[0] for g in got])]
+
+    phrases = route(batches, ask_phrases, smaller, [["<u8", "<i8"]], 0.2, "phrases")
+    grams = route(with_answers(batches, phrases), ask_grams, lambda got: [[x] for x in shared_keys([g[0] for g in got])], [["u6", "u1"]], 0.5, "grams")
+    strings = route(with_answers(batches, phrases, grams), ask_strings, smaller, [["<u8", "<i8"]], 0.5, "strings")
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, texts, row in batch_rows(it):
             parsed = Parsed(ids, texts, depth)
-            hit, maybe, bucket, keys, low, _ = parsed.settle(row)
+            hit, maybe, bucket, keys, low = parsed.candidates(row)
             (bits,) = told([keys], row, "strings")
             if len(maybe):
                 dup = (bits[bucket] & 1 == 1) | (low[bucket] < parsed.who[parsed.doc[maybe]])
@@ -204,7 +212,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "data"])
 
-    return with_answers(batches, grams, strings).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, data binary")
+    return with_answers(batches, phrases, grams, strings).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, data binary")
 
 
 def sha256(data: bytes) -> str:
