@@ -228,9 +228,11 @@ def route(
 
 
 def with_answers(batches: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Batches beside their answers, spread by their texts' size: a row is light, but what stands behind it is not."""
+    total = batches.agg(F.sum("n_bytes")).first()[0] or 0
     for a in answers:
         batches = batches.join(a, batches["batch"] == a["to"], "left").drop("to")
-    return batches
+    return batches.repartition(parts_for(batches.sparkSession, total, 16 << 20), "batch")
 
 
 def told(channels: list[np.ndarray], row: dict, name: str) -> list[np.ndarray]:

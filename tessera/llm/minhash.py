@@ -7,8 +7,8 @@ likelihood over the registers and the known set sizes drops candidates that cann
 the threshold, and the rest are compared on their full sets.
 
 Copies (equal sets) become one node first.  Within a bucket, members are compared with a hub, not
-with each other; buckets whose members are still in different components go on until every such
-pair has been compared, so no link between different texts is lost to a bucket's size.
+with each other, and what they have beyond the hub decides which of them can still be linked, so no
+link between different texts is lost to a bucket's size and no bucket's pairs are listed.
 
 Cases: a text without words, empty or null, has an empty set, is linked with nothing and is its own
 component; a text of fewer words than a shingle is one shingle; rows with the same id stay separate
@@ -184,26 +184,23 @@ def _wide(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _likely(percent: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for x in ("regs_a", "regs_b"))
-                keep = doubtful(a, c, b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
-                yield b.select(["a", "b"]).filter(pa.array(keep))
-
-    return run
+def _compared(percent: int):
+    """Whether a hub and a member are linked, and what the member has that the hub has not."""
 
-
-def _verified(percent: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            keep = []
-            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
+            if not b.num_rows:
+                continue
+            regs = [np.frombuffer(b"".join(b.column(x).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for x in ("hub_regs", "regs")]
+            likely = doubtful(*regs, b.column("hub_n").to_numpy(), b.column("n").to_numpy(), percent)
+            linked, rest = [], []
+            for x, y, maybe in zip(b.column("hub_set"), b.column("members"), likely.tolist(), strict=True):
                 x, y = _wide(x.as_py()), _wide(y.as_py())
-                both = len(np.intersect1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                extra = np.setdiff1d(y, x)
+                both = len(y) - len(extra)
+                linked.append(maybe and 100 * both >= percent * (len(x) + len(y) - both))
+                rest.append(extra.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("node"), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["hub", "node", "linked", "rest"])
 
     return run
 
@@ -235,15 +232,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = nodes.select("node", F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = durable(banded.join(crowded, "key"))
-    # the member that meets most others is the best hub
-    rank = members.groupBy("node").agg(F.sum("size").alias("rank"))
-    meta = durable(nodes.drop("bands").join(rank, "node"))
+    meta = durable(nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"))
     n_nodes = meta.count()
     if n_nodes:
         bits = min(FILTER_BITS, 1 << max(10, (16 * n_nodes - 1).bit_length()))
         shared = spark.sparkContext.broadcast(_filter(meta.select("doc_id"), bits).tobytes())
         sets = durable(rows.mapInArrow(_sets_of(shared, bits), "node long, members binary"))
-        members = durable(members.select("key", "node").join(meta.select("node", "rank"), "node"))
+        members = members.select("key", "node").join(meta.select("node", "n"), "node")
         labels = _resolve(members, meta, sets, percent)
         smallest = meta.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
         linked = labels.join(smallest, "label").select("node", "component_id")
@@ -256,41 +251,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _resolve(members: DataFrame, meta: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Component labels of all linked nodes, after comparing every pair of a bucket that could still join two components."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (meta.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in ("a", "b"))
-        maybe = durable(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(percent), "a long, b long"))
-        a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in ("a", "b"))
-        return durable(maybe.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long"))
-
-    n_rows, links, labels, active, tested = members.count(), None, None, members, None
+    """Component labels of all linked nodes: ``node, label``.
+
+    A bucket's smallest set is its hub and is compared with each member.  If x is not linked with
+    the hub and y is no smaller than the hub, x and y can be linked only if they share a shingle
+    that the hub has not: else their intersection is no larger than that of x and the hub, and their
+    union no smaller.  So the shingles that members have beyond their hub are the next round's
+    buckets, which copies with edits of their own do not share.  Buckets inside one component are
+    done.
+    """
+    links, labels = None, None
     while True:
-        hubs = active.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-        if labels is None:
-            starred = active.join(hubs, "key").where("node != hub")
-        else:
-            starred = active.join(hubs.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub", "left"), "key")
-            starred = starred.where("node != hub and coalesce(label, node) != coalesce(hub_label, hub)")
-        pairs = starred.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = verify(pairs)
+        hubs = members.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+        pairs = members.join(hubs, "key").where("node != hub").select("hub", "node").distinct()
+        own = meta.select("node", "n", "regs").join(sets, "node")
+        of_hub = meta.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs")).join(sets.select(F.col("node").alias("hub"), F.col("members").alias("hub_set")), "hub")
+        met = pairs.join(own, "node").join(of_hub, "hub").select("hub", "node", "hub_n", "n", "hub_regs", "regs", "hub_set", "members")
+        met = durable(met.mapInArrow(_compared(percent), "hub long, node long, linked boolean, rest array<long>"))
+        found = met.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         links = found if links is None else links.union(found)
         labels = components(links)
-        # a hub has been compared with its whole bucket; buckets in one component are done
-        left = active.drop("label").join(hubs, "key").where("node != hub").drop("hub").join(labels, "node", "left")
-        open_keys = left.groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("low"), F.max(F.coalesce("label", "node")).alias("high")).where("low != high")
-        active = durable(left.join(open_keys.select("key"), "key"))
-        by_label = active.groupBy("key", F.coalesce("label", "node").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-        by_key = by_label.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"))
-        cross = (by_key.agg(F.sum("cross")).first()[0] or 0) // 2
-        if not cross:
+        known = labels.select("node", "label")
+        marked = met.select("hub", "node", "rest").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_hubs = marked.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("hub")
+        beyond = marked.join(open_hubs, "hub").select(F.explode("rest").alias("shingle"), "hub", "node", "label")
+        beyond = beyond.select(F.xxhash64("hub", "shingle").alias("key"), "node", "label")
+        open_keys = beyond.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        members = durable(beyond.join(open_keys, "key").select("key", "node").join(meta.select("node", "n"), "node"))
+        if not members.limit(1).count():
             return labels
-        if cross <= 2 * n_rows:  # few enough to list: no more than a few for each row of the buckets
-            x = active.select("key", F.col("node").alias("a"), F.coalesce("label", "node").alias("label_a"))
-            y = active.select("key", F.col("node").alias("b"), F.coalesce("label", "node").alias("label_b"))
-            rest = x.join(y, "key").where("a < b and label_a != label_b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-            return components(links.union(verify(durable(rest))))
