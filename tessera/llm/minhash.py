@@ -7,8 +7,9 @@ likelihood over the registers and the known set sizes drops candidates that cann
 the threshold, and the rest are compared on their full sets.
 
 Copies (equal sets) become one node first.  Within a bucket, members are compared with a hub, not
-with each other, and what they have beyond the hub decides which of them can still be linked, so no
-link between different texts is lost to a bucket's size and no bucket's pairs are listed.
+with each other, and those that this leaves outside the hub's component are compared with the rest
+in blocks, so no link between different texts is lost to a bucket's size and no bucket's pairs are
+listed.
 
 Cases: a text without words, empty or null, has an empty set, is linked with nothing and is its own
 component; a text of fewer words than a shingle is one shingle; rows with the same id stay separate
@@ -185,22 +186,59 @@ def _wide(blob: bytes) -> np.ndarray:
 
 
 def _compared(percent: int):
-    """Whether a hub and a member are linked, and what the member has that the hub has not."""
+    """Pairs of a hub and a member that the likelihood leaves open and the full sets confirm."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if not b.num_rows:
                 continue
             regs = [np.frombuffer(b"".join(b.column(x).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for x in ("hub_regs", "regs")]
-            likely = doubtful(*regs, b.column("hub_n").to_numpy(), b.column("n").to_numpy(), percent)
-            linked, rest = [], []
-            for x, y, maybe in zip(b.column("hub_set"), b.column("members"), likely.tolist(), strict=True):
+            b = b.filter(pa.array(doubtful(*regs, b.column("hub_n").to_numpy(), b.column("n").to_numpy(), percent)))
+            linked = []
+            for x, y in zip(b.column("hub_set"), b.column("members"), strict=True):
                 x, y = _wide(x.as_py()), _wide(y.as_py())
-                extra = np.setdiff1d(y, x)
-                both = len(y) - len(extra)
-                linked.append(maybe and 100 * both >= percent * (len(x) + len(y) - both))
-                rest.append(extra.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("node"), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["hub", "node", "linked", "rest"])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield b.select(["hub", "node"]).filter(pa.array(linked, pa.bool_()))
+
+    return run
+
+
+def _block(percent: int):
+    """A forest of the links between the two sides of one block, by full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = {}
+        for node, label, side, blob in zip(*(table.column(c).to_pylist() for c in ("node", "label", "side", "members")), strict=True):
+            rows[side, node] = (label, blob)
+        left, right = ([(n, *v) for (s, n), v in rows.items() if s == k] for k in (1, 0))
+        out = {"a": [], "b": []}
+        if left and right:
+            sets = [_wide(x[2]) for x in right]
+            sizes = np.array([len(x) for x in sets])
+            names, at = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            parent = {x[1]: x[1] for x in left + right}
+
+            def find(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            for node, label, blob in left:
+                mine = _wide(blob)
+                place = np.searchsorted(names, mine).clip(0, len(names) - 1)
+                mark = np.zeros(len(names), dtype=np.int64)
+                mark[place[names[place] == mine]] = 1
+                both = np.add.reduceat(mark[at], starts)
+                for j in np.flatnonzero(100 * both >= percent * (len(mine) + sizes - both)).tolist():
+                    a, b = find(label), find(right[j][1])
+                    if a != b:
+                        parent[b] = a
+                        out["a"].append(node)
+                        out["b"].append(right[j][0])
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return run
 
@@ -238,7 +276,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits = min(FILTER_BITS, 1 << max(10, (16 * n_nodes - 1).bit_length()))
         shared = spark.sparkContext.broadcast(_filter(meta.select("doc_id"), bits).tobytes())
         sets = durable(rows.mapInArrow(_sets_of(shared, bits), "node long, members binary"))
-        members = members.select("key", "node").join(meta.select("node", "n"), "node")
         labels = _resolve(members, meta, sets, percent)
         smallest = meta.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
         linked = labels.join(smallest, "label").select("node", "component_id")
@@ -250,33 +287,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+#: Bytes of sets on each side of a block.
+BLOCK_BYTES = 1 << 20
+
+
 def _resolve(members: DataFrame, meta: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Component labels of all linked nodes: ``node, label``.
 
-    A bucket's smallest set is its hub and is compared with each member.  If x is not linked with
-    the hub and y is no smaller than the hub, x and y can be linked only if they share a shingle
-    that the hub has not: else their intersection is no larger than that of x and the hub, and their
-    union no smaller.  So the shingles that members have beyond their hub are the next round's
-    buckets, which copies with edits of their own do not share.  Buckets inside one component are
-    done.
+    First each bucket's members are compared with the hub, the member that meets most others.  The
+    members that this leaves outside the hub's component are then compared, in blocks of bounded
+    size, with all members of the hub's buckets; a block gives a forest of its links at most, and
+    buckets inside one component have no blocks.
     """
-    links, labels = None, None
-    while True:
-        hubs = members.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-        pairs = members.join(hubs, "key").where("node != hub").select("hub", "node").distinct()
-        own = meta.select("node", "n", "regs").join(sets, "node")
-        of_hub = meta.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs")).join(sets.select(F.col("node").alias("hub"), F.col("members").alias("hub_set")), "hub")
-        met = pairs.join(own, "node").join(of_hub, "hub").select("hub", "node", "hub_n", "n", "hub_regs", "regs", "hub_set", "members")
-        met = durable(met.mapInArrow(_compared(percent), "hub long, node long, linked boolean, rest array<long>"))
-        found = met.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        known = labels.select("node", "label")
-        marked = met.select("hub", "node", "rest").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_hubs = marked.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("hub")
-        beyond = marked.join(open_hubs, "hub").select(F.explode("rest").alias("shingle"), "hub", "node", "label")
-        beyond = beyond.select(F.xxhash64("hub", "shingle").alias("key"), "node", "label")
-        open_keys = beyond.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        members = durable(beyond.join(open_keys, "key").select("key", "node").join(meta.select("node", "n"), "node"))
-        if not members.limit(1).count():
-            return labels
+    rank = members.groupBy("node").agg(F.sum("size").alias("rank"))
+    hubs = members.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    pairs = durable(members.join(hubs, "key").select("hub", "node").distinct())
+    own = meta.select("node", "n", "regs").join(sets, "node")
+    of_hub = meta.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs")).join(sets.select(F.col("node").alias("hub"), F.col("members").alias("hub_set")), "hub")
+    met = pairs.where("node != hub").join(own, "node").join(of_hub, "hub").select("hub", "node", "hub_n", "n", "hub_regs", "regs", "hub_set", "members")
+    links = durable(met.mapInArrow(_compared(percent), "hub long, node long")).toDF("a", "b")
+    labels = components(links)
+    marked = pairs.join(labels, "node", "left").join(meta.select("node", "n"), "node").withColumn("label", F.coalesce("label", "node"))
+    home = marked.where("node = hub").select("hub", F.col("label").alias("home"))
+    marked = durable(marked.join(home, "hub").withColumn("apart", F.col("label") != F.col("home")))
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") * 6) / BLOCK_BYTES)).cast("int")
+    outside = F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("apart"), F.col("n") * 6)) / BLOCK_BYTES)).cast("int")
+    counts = marked.groupBy("hub").agg(blocks.alias("across"), outside.alias("down"), F.count_if("apart").alias("left")).where("left > 0").drop("left")
+    dealt = marked.join(counts, "hub").withColumn("h", F.xxhash64("node"))
+    every = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod("h", "across").cast("int").alias("j"), "node", "label", F.lit(0).alias("side"))
+    some = dealt.where("apart").select("hub", F.pmod("h", "down").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), "node", "label", F.lit(1).alias("side"))
+    more = durable(every.union(some).join(sets, "node").groupBy("hub", "i", "j").applyInArrow(_block(percent), "a long, b long"))
+    if not more.limit(1).count():
+        return labels
+    return components(links.union(more))
