@@ -123,8 +123,15 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], bool]:
     return out, has_article
 
 
-def _words(text: str) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(w) & 0x7FFFFFFFFFFFFFFF for w in text.encode().split()]
+def _stream(text: str, place: str) -> list[int]:
+    """A block's words, then a token that no other block has, so that no run goes beyond its block.
+
+    The tokens of a block shorter than a run carry its whole text: such blocks repeat whole or not at all.
+    """
+    words = text.encode().split()
+    if len(words) < RUN:
+        words = [text.encode() + b"\0%d" % k for k in range(RUN)]
+    return [xxhash.xxh3_64_intdigest(w) & 0x7FFFFFFFFFFFFFFF for w in (*words, place.encode())]
 
 
 def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
@@ -149,9 +156,9 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> l
 def _light(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         rows = []
-        for page in b.column("html").to_pylist():
+        for page, key in zip(b.column("html").to_pylist(), b.column("key").to_pylist(), strict=True):
             some, _ = blocks(page)
-            rows.append(np.array([w for z, t in some if z != 1 for w in _words(t)], dtype="<i8").tobytes())
+            rows.append(np.array([w for k, (z, t) in enumerate(some) if z != 1 for w in _stream(t, f"\0{key} {k}")], dtype="<i8").tobytes())
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("host"), pa.array(rows, pa.binary())], names=["key", "host", "stream"])
 
 
@@ -171,7 +178,7 @@ def main_text(page: str, covered: bytes | None) -> str:
         n = len(text.encode().split())
         own = np.zeros(n, dtype=bool)
         own[: len(bits[at : at + n])] = bits[at : at + n]
-        at += n
+        at += max(n, RUN) + 1
         if z == 0:
             kept = text if not own.any() else b" ".join(w for w, gone in zip(text.encode().split(), own.tolist(), strict=True) if not gone).decode()
             if kept:
