@@ -3,8 +3,8 @@
 A pre-token's bytes form a linked list.  Each adjacent pair with a rank stands in that rank's bucket
 of list positions; a two-level bitmap over the ranks finds the lowest rank in use by find-first-set,
 and entries that a merge has outdated are skipped when their bucket comes up.  A pre-token of n bytes
-takes O(n) queue steps, so megabytes without a break do no harm.  Encoded pre-tokens are kept in a
-bounded cache.
+takes O(n) queue steps, so megabytes without a break do no harm.  Encoded pre-tokens are kept in
+bounded caches.
 
 Cases: null and empty texts have no ids; ids of a text concatenate those of its pre-tokens.
 """
@@ -12,6 +12,7 @@ Cases: null and empty texts have no ids; ids of a text concatenate those of its
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 
@@ -19,10 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import narrow
+from tessera.llm.shared import narrow, trim
 
-#: Entries in each worker's cache of encoded pieces; it is emptied when full.
-CACHE = 700_000
+#: Entries in each generation of a worker's caches; two generations are kept, so frequent pieces outlive rare ones.
+CACHE = 150_000
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
@@ -41,7 +42,9 @@ class Encoder:
         self.token = {v: k for k, v in ranks.items()}
         self.pairs: dict[int, int] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
 
     def pair(self, key: int) -> int:
         """The rank of tokens ``key >> 32`` and ``key & 0xFFFFFFFF`` joined, or -1."""
@@ -132,20 +135,24 @@ class Encoder:
     def piece(self, text: str) -> bytes:
         got = self.pieces.get(text)
         if got is None:
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            got = array("I", self.merge(text.encode())).tobytes()
+            got = self.old_pieces.get(text)
+            if got is None:
+                got = array("I", self.merge(text.encode())).tobytes()
             if len(text) <= 64:
+                if len(self.pieces) >= self.limit:
+                    self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[text] = got
         return got
 
     def chunk(self, text: str) -> bytes:
         got = self.chunks.get(text)
         if got is None:
-            if len(self.chunks) >= self.limit:
-                self.chunks.clear()
-            got = b"".join([self.piece(p) for p in self.pattern.findall(text)])
+            got = self.old_chunks.get(text)
+            if got is None:
+                got = b"".join([self.piece(p) for p in self.pattern.findall(text)])
             if len(text) <= 64:
+                if len(self.chunks) >= self.limit:
+                    self.old_chunks, self.chunks = self.chunks, {}
                 self.chunks[text] = got
         return got
 
@@ -200,6 +207,7 @@ def slices(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordB
     for b in it:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    trim()
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -212,3 +220,20 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, data binary")
+
+
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode, decode the ids, and digest both in one Python worker per task."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern)
+        for b in slices(it):
+            n, own, back = [], [], []
+            for text in b.column("text").to_pylist():
+                ids = enc.encode(text)
+                n.append(len(ids) // 4)
+                own.append(hashlib.sha256(ids).hexdigest())
+                back.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

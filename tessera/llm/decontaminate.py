@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exchange import texts_of
 from tessera.llm.hashing import word_spans
-from tessera.llm.shared import durable, narrow
+from tessera.llm.shared import durable, narrow, size_batches
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton, the bound of what is broadcast; a larger benchmark is scanned for in blocks.
@@ -118,6 +118,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> I
     yield block
 
 
+RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>"
 HITS = "doc_id long, n_words long, hit_from array<long>, hit_words array<long>, items array<string>, spans array<array<long>>"
 
 
@@ -137,7 +138,10 @@ def decontaminate(
         rows = rows.withColumn("row", F.lit(0).cast("long"))
     out = None
     for block in blocks:
-        got = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(block), window), f"row long, {HITS}")
+        shared = spark.sparkContext.broadcast(block)
+        if len(blocks) == 1:
+            return rows.mapInArrow(lambda it, scan=_scanner(shared, window): _summed(scan(it)), RESULT)
+        got = rows.mapInArrow(_scanner(shared, window), f"row long, {HITS}")
         out = got if out is None else out.unionByName(got)
     if len(blocks) > 1:
         out = out.groupBy("row").agg(
@@ -148,7 +152,7 @@ def decontaminate(
             F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
             F.flatten(F.collect_list("spans")).alias("spans"),
         )
-    return out.mapInArrow(_summed, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>")
+    return out.mapInArrow(_summed, RESULT)
 
 
 def _scanner(shared, window: int):
@@ -184,6 +188,7 @@ def items_digest(items: list[str]) -> str:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns; a scan for each block of items, no shuffle."""
+    size_batches(docs.sparkSession)
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(block), window, text_col), docs.schema)
     return docs

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import durable, fresh_dir, narrow, parts_for
+from tessera.llm.shared import durable, fresh_dir, narrow, parts_for, trim
 
 #: Bytes of text in a batch; a longer text is a batch of its own.  Raise it with the input (64 MB at 100 TB), so that rows between batches and parts stay worth their overhead.
 BATCH_BYTES = 1 << 20
@@ -55,6 +55,7 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
             size += len(t) + 16
     if texts:
         yield ids, texts, more
+    trim()
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, keep: list[str] = (), apart: bool = False) -> DataFrame:
@@ -142,6 +143,7 @@ def batch_rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[b
             if "rest" in b.schema.names:
                 row["rest"] = b.column("rest")[i].values
             yield row["batch"], row["ids"], unpack(row["sizes"], row["blob"], row["place"]), row
+    trim()
 
 
 def split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:

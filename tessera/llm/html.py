@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import durable
+from tessera.llm.shared import durable, size_batches
 from tessera.llm.suffixes import refine
 from tessera.llm.urls import host_and_path
 
@@ -188,6 +188,7 @@ def main_text(page: str, covered: bytes | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """``page_id, url, text``, one row per input row."""
+    size_batches(pages.sparkSession)
     host, _ = host_and_path(pages[url_col].cast("string"))
     page = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), page.alias("html"), host.alias("host"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exchange import grouped, texts_of
 from tessera.llm.hashing import Joined, Slices, mix
-from tessera.llm.shared import narrow
+from tessera.llm.shared import narrow, size_batches, trim
 
 #: Labelled rows that a model is fitted on at most: those whose id hashes lowest.
 SAMPLE = 4000
@@ -224,5 +224,7 @@ def keep(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFr
                 verdicts.append(judged(some, trees)[3])
             if verdicts:
                 yield b.filter(pa.array(np.concatenate(verdicts)))
+        trim()
 
+    size_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

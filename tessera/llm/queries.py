@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,21 +65,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
-def _bpe_digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    for b in it:
-        ids, data = b.column("ids").to_pylist(), b.column("data").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in data])],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, path, pattern()), path, pattern())
-    return out.mapInArrow(_bpe_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bpe.digests(docs, tokenizer_path("byte_bpe_50k.tiktoken"), pattern())
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +70,28 @@ def parts_for(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, -(-int(n_bytes) // part_bytes), 16)
 
 
+#: Rows and bytes of an Arrow batch between Spark and Python; the default of 10,000 rows is far too much for long texts.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def size_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches for texts, so that Python workers stay small."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
+
+
+def trim() -> None:
+    """Give memory that a finished partition has freed back to the system; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id (as long) and the text (null: empty), whatever other columns there are."""
+    size_batches(docs.sparkSession)
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
