@@ -7,8 +7,8 @@ cover is removed.  Text inside an article element is content even where it repea
 is its article's blocks or, without an article element, the blocks that neither markup nor
 repetition rules out.
 
-A host may hold a third of all pages: its pages are dealt into groups of about ``GROUP``, each with a
-suffix array of its own.
+A host may hold a third of all pages: its pages are dealt into groups of about ``GROUP`` pages and
+``GROUP_BYTES`` at most, each with a suffix array of its own.
 
 Cases: a null or empty page has no text; unclosed and misnested tags end with the block or container
 around them; equal rows have equal results; a page whose host is empty is grouped with its like.
@@ -30,8 +30,10 @@ from tessera.llm.shared import durable, size_batches
 from tessera.llm.suffixes import refine
 from tessera.llm.urls import host_and_path
 
-#: Pages of one host in a suffix array, about.
-GROUP = 1500
+#: Pages of one host in a suffix array and bytes of their html, about.
+GROUP, GROUP_BYTES = 1500, 64 << 20
+#: Hosts of more than one group whose sizes are broadcast, at most: some megabytes.
+LARGE_HOSTS = 50_000
 #: Words of a repeated run, and distinct pages it must stand on, to be boilerplate.
 RUN, PAGES = 6, 3
 
@@ -153,56 +155,72 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> l
     return np.split(np.cumsum(covered[:-1]) > 0, stop[:-1]) if len(streams) else []
 
 
-def _light(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        rows = []
-        for page, key in zip(b.column("html").to_pylist(), b.column("key").to_pylist(), strict=True):
-            some, _ = blocks(page)
-            rows.append(np.array([w for k, (z, t) in enumerate(some) if z != 1 for w in _stream(t, f"\0{key} {k}")], dtype="<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("host"), pa.array(rows, pa.binary())], names=["key", "host", "stream"])
-
+def _article_text(some: list[tuple[int, str]]) -> str:
+    return "\n\n".join(t for z, t in some if z == 1)
 
-def _mark(table: pa.Table) -> pa.Table:
-    streams = [np.frombuffer(x, dtype="<i8") for x in table.column("stream").to_pylist()]
-    bits = [np.packbits(x).tobytes() for x in repeated(streams)]
-    return pa.table({"key": table.column("key"), "covered": pa.array(bits, pa.binary())})
 
-
-def main_text(page: str, covered: bytes | None) -> str:
-    some, has_article = blocks(page)
-    if has_article:
-        return "\n\n".join(t for z, t in some if z == 1)
-    bits = np.unpackbits(np.frombuffer(covered or b"", dtype=np.uint8)).astype(bool)
+def _outside(zones: bytes, texts: list[str], covered: np.ndarray) -> str:
+    """The text of a page without an article: undecided blocks, less the words that ``covered`` marks in the page's stream."""
     out, at = [], 0
-    for z, text in some:
-        n = len(text.encode().split())
-        own = np.zeros(n, dtype=bool)
-        own[: len(bits[at : at + n])] = bits[at : at + n]
-        at += max(n, RUN) + 1
+    for z, text in zip(zones, texts, strict=True):
+        words = text.encode().split()
+        own = covered[at : at + len(words)]
+        at += max(len(words), RUN) + 1
         if z == 0:
-            kept = text if not own.any() else b" ".join(w for w, gone in zip(text.encode().split(), own.tolist(), strict=True) if not gone).decode()
+            kept = text if not own.any() else b" ".join(w for w, gone in zip(words, own.tolist(), strict=True) if not gone).decode()
             if kept:
                 out.append(kept)
     return "\n\n".join(out)
 
 
+def _streams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page the words outside its article; a page without an article brings its blocks along."""
+    for b in it:
+        streams, zones, texts = [], [], []
+        for page, key in zip(b.column("html").to_pylist(), b.column("key").to_pylist(), strict=True):
+            some, has_article = blocks(page)
+            streams.append(np.array([w for k, (z, t) in enumerate(some) if z != 1 for w in _stream(t, f"\0{key} {k}")], dtype="<i8").tobytes())
+            zones.append(None if has_article else bytes(z for z, _ in some))
+            texts.append(None if has_article else [t for _, t in some])
+        columns = {"stream": pa.array(streams, pa.binary()), "zones": pa.array(zones, pa.binary()), "texts": pa.array(texts, pa.list_(pa.string()))}
+        same = ["page_id", "url", "host", "key"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in same), *columns.values()], names=[*same, *columns])
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """The text of a group's pages without an article; rows with one key are one page where runs are counted."""
+    _, first, which = np.unique(table.column("key").to_numpy(), return_index=True, return_inverse=True)
+    streams = [np.frombuffer(x, dtype="<i8") for x in table.column("stream").take(pa.array(first)).to_pylist()]
+    covered = repeated(streams)
+    open_rows = np.flatnonzero(~np.asarray(table.column("zones").is_null()))
+    own = table.take(pa.array(open_rows))
+    texts = [_outside(z, t, covered[which[i]]) for i, z, t in zip(open_rows.tolist(), own.column("zones").to_pylist(), own.column("texts").to_pylist(), strict=True)]
+    return pa.table({"page_id": own.column("page_id"), "url": own.column("url"), "text": pa.array(texts, pa.string())})
+
+
+def _articles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of pages with an article, which no other page has a say in."""
+    for b in it:
+        some = [blocks(page) for page in b.column("html").to_pylist()]
+        own = b.filter(pa.array([has for _, has in some], pa.bool_()))
+        yield pa.RecordBatch.from_arrays([own.column("page_id"), own.column("url"), pa.array([_article_text(x) for x, has in some if has], pa.string())], names=["page_id", "url", "text"])
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
-    """``page_id, url, text``, one row per input row."""
+    """``page_id, url, text``, one row per input row; no html is shuffled, only what lies outside articles."""
     size_batches(pages.sparkSession)
     host, _ = host_and_path(pages[url_col].cast("string"))
     page = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), page.alias("html"), host.alias("host"))
     rows = rows.withColumn("key", F.xxhash64("url", "html"))
-    light = durable(rows.select("key", "host", "html").mapInArrow(_light, "key long, host string, stream binary"))
-    light = light.where(F.length("stream") > 0).dropDuplicates(["key"])
-    sizes = light.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", F.greatest(F.lit(1), F.ceil(F.col("n") / group)).cast("long").alias("groups"))
-    dealt = light.join(sizes, "host").withColumn("dealt", F.pmod(F.col("key"), F.col("groups")))
-    marked = dealt.groupBy("host", "dealt").applyInArrow(_mark, "key long, covered binary")
-    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string"
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            text = [main_text(p, c) for p, c in zip(b.column("html").to_pylist(), b.column("covered").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
-
-    return rows.join(marked, "key", "left").select("page_id", "url", "html", "covered").mapInArrow(run, schema)
+    of_id = rows.schema["page_id"].dataType.simpleString()
+    need = F.ceil(F.greatest(F.count(F.lit(1)) / group, F.sum(F.octet_length("html")) / GROUP_BYTES)).cast("long")
+    large = durable(rows.groupBy("host").agg(need.alias("groups")).where("groups > 1"))
+    if large.count() <= LARGE_HOSTS:  # beyond that many the hosts are joined, and AQE splits a large one
+        large = F.broadcast(large)
+    streams = rows.mapInArrow(_streams, f"page_id {of_id}, url string, host string, key long, stream binary, zones binary, texts array<string>")
+    streams = streams.where((F.length("stream") > 0) | F.col("zones").isNotNull())
+    dealt = streams.join(large, "host", "left").withColumn("dealt", F.pmod(F.xxhash64("page_id", "key"), F.coalesce("groups", F.lit(1))))
+    schema = f"page_id {of_id}, url string, text string"
+    without = dealt.drop("groups").groupBy("host", "dealt").applyInArrow(_settle, schema)
+    return rows.select("page_id", "url", "html").mapInArrow(_articles, schema).unionByName(without)

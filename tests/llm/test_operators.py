@@ -234,6 +234,25 @@ def test_html(spark):
     assert all(got[k] == f"own text {k}" for k in range(3, 8))
 
 
+def test_html_in_groups(spark):
+    """A large host is dealt into groups; copies, repeated rows, a null id and pages with an article come through whole."""
+    plain = "<body><div>the same notice is put on all pages</div><p>only page {} says this</p><p>short</p>"
+    page = "<nav>Menu</nav><article><p>the same notice is put on all pages</p></article>"
+    pages = [(k, f"http://big/{k}", plain.format(k)) for k in range(40)] + [(100 + k, "http://big/0", plain.format(0)) for k in range(3)]
+    pages += [(50, "http://big/50", page), (50, "http://big/50", page), (None, "http://big/51", plain.format(51)), (60, "http://small/", plain.format(60))]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, host string")
+    got = html.extract(df, group=12).collect()
+    assert len(got) == len(pages)
+    text = {p: f"only page {p if p is not None else 51} says this" for p, _, _ in pages} | {100 + k: "only page 0 says this" for k in range(3)}
+    for r in got:
+        if r["page_id"] == 50:
+            assert r["text"] == "the same notice is put on all pages"
+        elif r["page_id"] == 60:  # its host has no other page
+            assert r["text"] == "the same notice is put on all pages\n\nonly page 60 says this\n\nshort"
+        else:
+            assert r["text"] == text[r["page_id"]], r
+
+
 def test_suffixes(docs, rows):
     first, expected = set(), {}
     for i, t, *_ in sorted(rows):
