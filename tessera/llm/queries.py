@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, html, lines, minhash, quality, repeats, suffixes, tokens, urls
+from tessera.llm import bpe, decontaminate, html, lines, minhash, oracles, quality, repeats, suffixes, tokens, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
