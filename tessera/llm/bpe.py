@@ -3,7 +3,7 @@
 A pre-token's bytes form a linked list.  Each adjacent pair with a rank stands in that rank's bucket
 of list positions; a two-level bitmap over the ranks finds the lowest rank in use by find-first-set,
 and entries that a merge has outdated are skipped when their bucket comes up.  A pre-token of n bytes
-takes O(n) queue steps, so megabytes without a break do no harm.  Encoded pre-tokens are kept in
+takes O(n) queue steps of a heap's logarithm each at most, so megabytes without a break do no harm.  Encoded pre-tokens are kept in
 bounded caches.
 
 Cases: null and empty texts have no ids; ids of a text concatenate those of its pre-tokens.
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.shared import narrow, trim
 
-#: Entries in each generation of a worker's caches; two generations are kept, so frequent pieces outlive rare ones.
-CACHE = 150_000
+#: Entries in each generation of a worker's cache; two generations are kept, so frequent pieces outlive rare ones.
+CACHE = 500_000
+#: A lone space between two characters that are not white space, led by the space so that the search can skip to it.
+_CHUNKS = re.compile(r" (?<=\S )(?=\S)")
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
@@ -41,10 +45,12 @@ class Encoder:
         self.byte = [ranks[bytes([i])] for i in range(256)]
         self.token = {v: k for k, v in ranks.items()}
         self.pairs: dict[int, int] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
+        self.of_bytes = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.buckets: list[list[int] | None] = [None] * (max(ranks.values()) + 1)
+        self.middle = [0] * (len(self.buckets) // 256 + 1)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def pair(self, key: int) -> int:
         """The rank of tokens ``key >> 32`` and ``key & 0xFFFFFFFF`` joined, or -1."""
@@ -57,103 +63,109 @@ class Encoder:
         """The ids of one pre-token.
 
         ``top`` and ``middle`` are the two levels of the bitmap over ranks, 256 ranks to a word:
-        ``x & -x`` is the lowest set bit.  The queue is written out here, for a call per step would
-        cost more than the step.
+        ``x & -x`` is the lowest set bit.  A bucket is a heap of positions, for equal ranks merge from
+        the left; it is asked for anew after each merge, which may have made a pair of a lower rank.
+        The queue is written out here, for a call per step would cost more than the step; it is empty
+        between calls.
         """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        byte, known, pair = self.byte, self.pairs, self.pair
-        ids = [byte[b] for b in piece]
+        known, pair, buckets, middle, of_bytes = self.pairs, self.pair, self.buckets, self.middle, self.of_bytes
+        ids = list(map(self.byte.__getitem__, piece))
         n = len(ids)
-        after, before, rank_at = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        buckets: dict[int, list[int]] = {}
-        middle: dict[int, int] = {}
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_at = [of_bytes[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
+        rank_at.append(-1)
         top = 0
-        for i in range(n - 1):
-            key = ids[i] << 32 | ids[i + 1]
-            r = known.get(key)
-            if r is None:
-                r = pair(key)
+        for i, r in enumerate(rank_at):
             if r >= 0:
-                rank_at[i] = r
-                if r in buckets:
-                    buckets[r].append(i)
+                bucket = buckets[r]
+                if bucket:
+                    bucket.append(i)  # ascending, so still a heap
                 else:
                     buckets[r] = [i]
-                    high = r >> 8
-                    middle[high] = middle.get(high, 0) | 1 << (r & 255)
-                    top |= 1 << high
+                    middle[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
         while top:
             high = (top & -top).bit_length() - 1
             word = middle[high]
             low = word & -word
-            if word == low:
-                del middle[high]
-                top ^= 1 << high
-            else:
-                middle[high] = word ^ low
             rank = high << 8 | (low.bit_length() - 1)
-            bucket = buckets.pop(rank)
+            bucket = buckets[rank]
             if len(bucket) > 1:
-                bucket.sort()  # equal ranks merge from the left
-            for i in bucket:
-                if rank_at[i] != rank:
-                    continue  # outdated
-                j = after[i]
-                k = after[j]
-                ids[i] = rank
-                rank_at[i] = rank_at[j] = -1
-                after[i] = k
-                h = before[i]
-                if k < n:
-                    before[k] = i
-                    touched = ((i, rank << 32 | ids[k]), (h, ids[h] << 32 | rank)) if h >= 0 else ((i, rank << 32 | ids[k]),)
-                elif h >= 0:
-                    touched = ((h, ids[h] << 32 | rank),)
-                else:
-                    touched = ()
-                for at, key in touched:
-                    r = known.get(key)
-                    if r is None:
-                        r = pair(key)
-                    rank_at[at] = r
-                    if r >= 0:
-                        if r in buckets:
-                            buckets[r].append(at)
-                        else:
-                            buckets[r] = [at]
-                            high = r >> 8
-                            middle[high] = middle.get(high, 0) | 1 << (r & 255)
-                            top |= 1 << high
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                buckets[rank] = None
+                middle[high] = word = word ^ low
+                if not word:
+                    top ^= 1 << high
+            if rank_at[i] != rank:
+                continue  # outdated
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i] = rank
+            rank_at[j] = r = -1
+            if k < n:
+                before[k] = i
+                key = rank << 32 | ids[k]
+                r = known.get(key)
+                if r is None:
+                    r = pair(key)
+                if r >= 0:
+                    bucket = buckets[r]
+                    if bucket:
+                        heappush(bucket, i)
+                    else:
+                        buckets[r] = [i]
+                        middle[r >> 8] |= 1 << (r & 255)
+                        top |= 1 << (r >> 8)
+            rank_at[i] = r
+            h = before[i]
+            if h >= 0:
+                key = ids[h] << 32 | rank
+                r = known.get(key)
+                if r is None:
+                    r = pair(key)
+                if r >= 0:
+                    bucket = buckets[r]
+                    if bucket:
+                        heappush(bucket, h)
+                    else:
+                        buckets[r] = [h]
+                        middle[r >> 8] |= 1 << (r & 255)
+                        top |= 1 << (r >> 8)
+                rank_at[h] = r
         out, i = [], 0
         while i < n:
             out.append(ids[i])
             i = after[i]
         return out
 
-    def piece(self, text: str) -> bytes:
-        got = self.pieces.get(text)
+    def spaced(self, text: str) -> bytes:
+        """The ids of a space and ``text``, which is a chunk or a pre-token; both share one cache, for a pre-token alone is cut like itself."""
+        got = self.old.get(text)
         if got is None:
-            got = self.old_pieces.get(text)
-            if got is None:
-                got = array("I", self.merge(text.encode())).tobytes()
-            if len(text) <= 64:
-                if len(self.pieces) >= self.limit:
-                    self.old_pieces, self.pieces = self.pieces, {}
-                self.pieces[text] = got
+            pieces = self.pattern.findall(" " + text)
+            got = array("I", self.merge(pieces[0].encode())).tobytes() if len(pieces) == 1 else b"".join(map(self.piece, pieces))
+        if len(text) <= 64:
+            if len(self.new) >= self.limit:
+                self.old, self.new = self.new, {}
+            self.new[text] = got
         return got
 
-    def chunk(self, text: str) -> bytes:
-        got = self.chunks.get(text)
+    def piece(self, text: str) -> bytes:
+        """The ids of one pre-token."""
+        if len(text) > 1 and text[0] == " " and not text[1].isspace():
+            return self.new.get(text[1:]) or self.spaced(text[1:])
+        got = self.bare.get(text)
         if got is None:
-            got = self.old_chunks.get(text)
-            if got is None:
-                got = b"".join([self.piece(p) for p in self.pattern.findall(text)])
+            got = array("I", self.merge(text.encode())).tobytes()
             if len(text) <= 64:
-                if len(self.chunks) >= self.limit:
-                    self.old_chunks, self.chunks = self.chunks, {}
-                self.chunks[text] = got
+                if len(self.bare) >= self.limit // 4:
+                    self.bare.clear()
+                self.bare[text] = got
         return got
 
     def encode(self, text: str) -> bytes:
@@ -164,15 +176,10 @@ class Encoder:
         """
         if not text:
             return b""
-        parts = text.split(" ")
-        out, held, get = [], parts[0], self.chunks.get
-        for part in parts[1:]:
-            if part and held and not part[0].isspace() and not held[-1].isspace():
-                out.append(get(held) or self.chunk(held))
-                held = " " + part
-            else:
-                held += " " + part
-        out.append(self.chunk(held))
+        first, *rest = _CHUNKS.split(text)
+        get, spaced = self.new.get, self.spaced
+        out = list(map(self.piece, self.pattern.findall(first)))
+        out += [get(part) or spaced(part) for part in rest]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
