@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from tessera.llm.shared import narrow, trim
 
 #: Entries in each generation of a worker's cache; two generations are kept, so frequent pieces outlive rare ones.
-CACHE = 500_000
+CACHE = 400_000
+#: Known pairs of tokens that a worker keeps.
+PAIRS = 200_000
 #: A lone space between two characters that are not white space, led by the space so that the search can skip to it.
 _CHUNKS = re.compile(r" (?<=\S )(?=\S)")
 
@@ -54,7 +56,7 @@ class Encoder:
 
     def pair(self, key: int) -> int:
         """The rank of tokens ``key >> 32`` and ``key & 0xFFFFFFFF`` joined, or -1."""
-        if len(self.pairs) >= self.limit:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         rank = self.pairs[key] = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
         return rank
