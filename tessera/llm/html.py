@@ -8,7 +8,8 @@ is its article's blocks or, without an article element, the blocks that neither
 repetition rules out.
 
 A host may hold a third of all pages: its pages are dealt into groups of about ``GROUP`` pages and
-``GROUP_BYTES`` at most, each with a suffix array of its own.
+``GROUP_BYTES`` at most, each with a suffix array of its own.  The groups' runs and their distinct
+pages are summed over the host, so a run is judged by all pages of the host, however it is dealt.
 
 Cases: a null or empty page has no text; unclosed and misnested tags end with the block or container
 around them; equal rows have equal results; a page whose host is empty is grouped with its like.
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.hashing import Slices
 from tessera.llm.shared import durable, size_batches
 from tessera.llm.suffixes import refine
 from tessera.llm.urls import host_and_path
@@ -126,14 +128,14 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], bool]:
 
 
 def _stream(text: str, place: str) -> list[int]:
-    """A block's words, then a token that no other block has, so that no run goes beyond its block.
+    """A block's words, then a negative token that no other block has, so that no run goes beyond its block.
 
     The tokens of a block shorter than a run carry its whole text: such blocks repeat whole or not at all.
     """
     words = text.encode().split()
     if len(words) < RUN:
         words = [text.encode() + b"\0%d" % k for k in range(RUN)]
-    return [xxhash.xxh3_64_intdigest(w) & 0x7FFFFFFFFFFFFFFF for w in (*words, place.encode())]
+    return [*(xxhash.xxh3_64_intdigest(w) & 0x7FFFFFFFFFFFFFFF for w in words), -1 - (xxhash.xxh3_64_intdigest(place.encode()) & 0x7FFFFFFFFFFFFFFF)]
 
 
 def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
@@ -155,6 +157,33 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> l
     return np.split(np.cumsum(covered[:-1]) > 0, stop[:-1]) if len(streams) else []
 
 
+def _runs(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all pages end to end, the page of each, and where runs begin that lie inside a block."""
+    data = np.concatenate(streams) if len(streams) else np.zeros(0, np.int64)
+    page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+    ends = np.concatenate([[0], np.cumsum(data < 0)])
+    return data, page, np.flatnonzero(ends[RUN:] == ends[:-RUN])
+
+
+def _run_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return Slices(data.astype(np.int64).view(np.uint64)).hash(at, at + RUN).view(np.int64)
+
+
+def _counted(key: tuple, table: pa.Table, elsewhere: pa.Table) -> pa.Table:
+    """Per run of a group its distinct pages, less those that another group counts."""
+    keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
+    data, page, at = _runs([np.frombuffer(x, dtype="<i8") for x in table.column("stream").take(pa.array(first)).to_pylist()])
+    runs, pages = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(at):
+        bucket = refine(np.unique(data, return_inverse=True)[1].astype(np.int64), at, RUN, gram=1)
+        own = ~np.isin(keys, elsewhere.column("key").to_numpy())
+        pairs = np.unique(np.stack([bucket, page[at]], axis=1), axis=0)
+        names, one = np.unique(bucket, return_index=True)
+        runs, pages = _run_hashes(data, at[one]), np.bincount(pairs[own[pairs[:, 1]], 0], minlength=int(names.max()) + 1)[names]
+    host, dealt = (x.as_py() for x in key)
+    return pa.table({"host": pa.array([host] * len(runs), pa.string()), "dealt": pa.array([dealt] * len(runs), pa.int64()), "run": pa.array(runs, pa.int64()), "pages": pa.array(pages, pa.int64())})
+
+
 def _article_text(some: list[tuple[int, str]]) -> str:
     return "\n\n".join(t for z, t in some if z == 1)
 
@@ -188,10 +217,25 @@ def _streams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """The text of a group's pages without an article; rows with one key are one page where runs are counted."""
+    """The text of a host's pages without an article; rows with one key are one page where runs are counted."""
     _, first, which = np.unique(table.column("key").to_numpy(), return_index=True, return_inverse=True)
     streams = [np.frombuffer(x, dtype="<i8") for x in table.column("stream").take(pa.array(first)).to_pylist()]
-    covered = repeated(streams)
+    return _without(table, repeated(streams), which)
+
+
+def _settle_known(table: pa.Table, known: pa.Table) -> pa.Table:
+    """The text of a group's pages without an article, given the host's boilerplate among the group's runs."""
+    streams = [np.frombuffer(x, dtype="<i8") for x in table.column("stream").to_pylist()]
+    data, _, at = _runs(streams)
+    covered = np.zeros(len(data) + 1, dtype=np.int64)
+    hit = at[np.isin(_run_hashes(data, at), known.column("run").to_numpy())]
+    np.add.at(covered, hit, 1)
+    np.add.at(covered, hit + RUN, -1)
+    covered = np.split(np.cumsum(covered[:-1]) > 0, np.cumsum([len(x) for x in streams])[:-1]) if streams else []
+    return _without(table, covered, np.arange(len(streams)))
+
+
+def _without(table: pa.Table, covered: list[np.ndarray], which: np.ndarray) -> pa.Table:
     open_rows = np.flatnonzero(~np.asarray(table.column("zones").is_null()))
     own = table.take(pa.array(open_rows))
     texts = [_outside(z, t, covered[which[i]]) for i, z, t in zip(open_rows.tolist(), own.column("zones").to_pylist(), own.column("texts").to_pylist(), strict=True)]
@@ -220,7 +264,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         large = F.broadcast(large)
     streams = rows.mapInArrow(_streams, f"page_id {of_id}, url string, host string, key long, stream binary, zones binary, texts array<string>")
     streams = streams.where((F.length("stream") > 0) | F.col("zones").isNotNull())
-    dealt = streams.join(large, "host", "left").withColumn("dealt", F.pmod(F.xxhash64("page_id", "key"), F.coalesce("groups", F.lit(1))))
+    dealt = durable(streams.join(large, "host", "left").withColumn("dealt", F.pmod(F.xxhash64("page_id", "key"), "groups")))
     schema = f"page_id {of_id}, url string, text string"
-    without = dealt.drop("groups").groupBy("host", "dealt").applyInArrow(_settle, schema)
-    return rows.select("page_id", "url", "html").mapInArrow(_articles, schema).unionByName(without)
+    small = dealt.where("groups is null").drop("groups", "dealt").groupBy("host").applyInArrow(_settle, schema)
+    big, place = dealt.where("groups is not null").drop("groups"), ["host", "dealt"]
+    # copies of a page may be dealt to several groups: one of these counts the page
+    copies = big.groupBy("host", "key").agg(F.collect_set("dealt").alias("at")).where("size(at) > 1")
+    elsewhere = copies.select("host", F.explode("at").alias("dealt"), "key", F.array_min("at").alias("first")).where("dealt != first").select(*place, "key")
+    counted = big.select(*place, "key", "stream").groupBy(*place).cogroup(elsewhere.groupBy(*place)).applyInArrow(_counted, "host string, dealt long, run long, pages long")
+    counted = durable(counted)
+    often = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES)
+    known = counted.join(often.select("host", "run"), ["host", "run"], "left_semi").select(*place, "run")
+    without = big.groupBy(*place).cogroup(known.groupBy(*place)).applyInArrow(_settle_known, schema)
+    return rows.select("page_id", "url", "html").mapInArrow(_articles, schema).unionByName(small).unionByName(without)

@@ -253,6 +253,18 @@ def test_html_in_groups(spark):
             assert r["text"] == text[r["page_id"]], r
 
 
+def test_html_counts_runs_over_all_groups_of_a_host(spark):
+    """A run is judged by its distinct pages on the whole host; copies that land in several groups are one page."""
+    often, twice = "this box stands on three of the pages", "and that box stands on two of the pages only"
+    page = lambda k: f"<body><p>only page {k} says this</p>" + (f"<div>{often}</div>" if k in (3, 17, 31) else "") + (f"<div>{twice}</div>" if k in (5, 23) else "")
+    pages = [(k, f"http://big/{k}", page(k)) for k in range(40)] + [(100 + k, "http://big/5", page(5)) for k in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    whole, dealt = ({r["page_id"]: r["text"] for r in html.extract(df, group=g).collect()} for g in (1000, 4))
+    assert dealt == whole
+    assert all(dealt[k] == f"only page {k} says this" for k in (3, 17, 31))
+    assert all(dealt[k].endswith(twice) for k in (5, 23, *range(100, 120)))
+
+
 def test_suffixes(docs, rows):
     first, expected = set(), {}
     for i, t, *_ in sorted(rows):
