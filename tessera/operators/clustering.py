@@ -1,39 +1,28 @@
-"""Grid clustering: each cell of a parameter grid is one row, fitted by numpy kernels in Arrow tasks.
+"""Grid clustering: each cell of a parameter grid is one row, fitted on all rows in passes over blocks.
 
-The matrix that cells share is a checked, bounded sample (``MOST`` rows); the final assignment of all
-rows goes through ``validity.nearest_centroid``.
+Only silhouettes of k-means and mixtures are taken on a bounded sample, as by the reference; the final
+assignment of all rows goes through ``validity.nearest_centroid``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the matrix that grid cells share, at most.
-MOST = 20_000
+from tessera.operators import passes
+from tessera.operators.passes import Fit, Rows
 
+#: Rows that k-means silhouettes and soft silhouettes of mixtures are taken on, at most (the reference: 2,000 for both).
+MOST, SOFT_MOST = 20_000, 2_000
 
-def matrix(points: DataFrame, most: int = MOST, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, rows) of at most ``most`` points, those whose id hashes lowest, in id order."""
-    got = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most).select("id", "v").toPandas().sort_values("id")
-    return got["id"].to_numpy(), np.array(got["v"].tolist(), dtype=float)
 
-
-def grid(like: DataFrame, cells: list[tuple], names: str, x: np.ndarray, cell: Callable[..., list[dict]], schema: str) -> DataFrame:
-    """Run ``cell(x, *parameters)`` for each cell in a task of its own."""
-    spark = like.sparkSession
-    shared = spark.sparkContext.broadcast(x)
-
-    def run(it):
-        for pdf in it:
-            for row in pdf.itertuples(index=False):
-                yield pd.DataFrame(cell(shared.value, *row))
-
-    return spark.createDataFrame(cells, names).repartition(max(1, len(cells))).mapInPandas(run, schema)
+def sample(points: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` points, those whose id hashes lowest."""
+    return points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most).select("id", "v")
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 4, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
@@ -61,42 +50,35 @@ def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 4, rounds: int = 100)
     return best
 
 
-def _scores(x: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
-    """(silhouette, Calinski–Harabasz, Davies–Bouldin)."""
-    names, label = np.unique(label, return_inverse=True)
-    k, n = len(names), len(x)
-    if k < 2:
-        return float("nan"), float("nan"), float("nan")
-    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0)) if n <= 600 else np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1), 0))
-    one = np.eye(k)[label]
-    size, sums = one.sum(axis=0), d @ one
-    own = size[label]
-    a = sums[np.arange(n), label] / np.maximum(own - 1, 1)
-    m = sums / size
-    m[np.arange(n), label] = np.inf
-    b = m.min(axis=1)
-    s = np.where(own == 1, 0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))
-    c = (one.T @ x) / size[:, None]
-    within = ((x - c[label]) ** 2).sum()
-    between = (size * ((c - x.mean(axis=0)) ** 2).sum(axis=1)).sum()
-    spread = np.array([np.sqrt(((x[label == j] - c[j]) ** 2).sum(axis=1)).mean() for j in range(k)])
-    gap = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1))
-    np.fill_diagonal(gap, np.inf)
-    db = ((spread[:, None] + spread[None]) / gap).max(axis=1).mean()
-    return float(s.mean()), float(between * (n - k) / (within * (k - 1))) if within else 1.0, float(db)
-
-
-def kmeans_grid(points: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
-    """One row per k: inertia, the three scores and BIC."""
-    _, x = matrix(points)
-
-    def cell(x, k):
-        label, _, inertia = kmeans(x, int(k), seed + int(k))
-        s, ch, db = _scores(x, label)
-        n, d = x.shape
-        return [{"k": int(k), "inertia": inertia, "silhouette": s, "calinski_harabasz": ch, "davies_bouldin": db, "bic": n * np.log(inertia / n + 1e-12) + k * d * np.log(n)}]
-
-    return grid(points, [(k,) for k in ks], "k long", x, cell, "k long, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, bic double")
+def kmeans_grid(points: DataFrame, ks: list[int], seed: int = 42, most: int = MOST) -> DataFrame:
+    """One row per k: inertia, the three scores and BIC over all rows, silhouettes of a sample of ``most`` rows."""
+    rows = Rows(points)
+    fits = passes.kmeans(rows, {int(k): Fit(int(k), seed + int(k)) for k in ks})
+    found = {k: Fit(k, 0, c=c) for k, (c, _) in fits.items()}
+    some = rows if rows.n <= most else Rows(sample(points, most))
+    labels = dict(some.blocks.map(lambda b: (b[0], {k: passes.nearest(b[1], f.c) for k, f in found.items()})).collect())
+    shared = {}
+    for k in found:
+        names = np.unique(np.concatenate([of[k] for of in labels.values()]))
+        if len(names) > 1:
+            shared[k] = {i: np.searchsorted(names, of[k]) for i, of in labels.items()}
+    silhouettes = passes.silhouettes(some, shared) if shared else {}
+    out, nan = [], float("nan")
+    for k, (size, mean, away, within) in passes.spread(rows, found).items():
+        n, d, has, inertia = rows.n, mean.shape[1], len(size), fits[k][1]
+        ch = db = nan
+        if has > 1:
+            between = float((size * ((mean - size @ mean / n) ** 2).sum(axis=1)).sum())
+            ch = between * (n - has) / (within * (has - 1)) if within else 1.0
+            gap = np.sqrt(((mean[:, None] - mean[None]) ** 2).sum(-1))
+            np.fill_diagonal(gap, np.inf)
+            s = away / size
+            db = float(((s[:, None] + s[None]) / gap).max(axis=1).mean())
+        total, count = silhouettes.get(k, (nan, 1))
+        out.append((k, inertia, total / count, ch, db, float(n * np.log(inertia / n + 1e-12) + k * d * np.log(n))))
+    for r in {id(rows): rows, id(some): some}.values():
+        r.done()
+    return points.sparkSession.createDataFrame(out, "k long, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, bic double")
 
 
 def knee(x: list[float], y: list[float], sensitivity: float = 3.0) -> float | None:
@@ -127,84 +109,84 @@ def vote(rows: pd.DataFrame) -> dict:
 
 
 def gap_statistic(points: DataFrame, ks: list[int], references: int = 10, seed: int = 42) -> DataFrame:
-    """``k, log_inertia, gap, gap_sk``; each (k, reference) pair is a cell."""
-    _, x = matrix(points)
-
-    def cell(x, k, b):
-        k, b = int(k), int(b)
-        if b:
-            rng = np.random.default_rng(seed + 1_000_000 + 10_000 * k + b)
-            low, high = x.min(axis=0), x.max(axis=0)
-            x = rng.uniform(low, np.where(high > low, high, low + 1e-9), x.shape)
-        return [{"k": k, "b": b, "w": float(np.log(kmeans(x, k, seed + k)[2] + 1e-12))}]
-
-    w = grid(points, [(k, b) for k in ks for b in range(references + 1)], "k long, b long", x, cell, "k long, b long, w double")
+    """``k, log_inertia, gap, gap_sk``; references have as many uniform rows as there are points."""
+    rows = Rows(points)
+    passes.box(rows)
+    view = lambda k, b: ("box", seed + 1_000_000 + 10_000 * k + b, 0) if b else passes.ALL
+    fits = passes.kmeans(rows, {(int(k), b): Fit(int(k), seed + int(k), view(int(k), b)) for k in ks for b in range(references + 1)})
+    rows.done()
+    w = points.sparkSession.createDataFrame([(k, b, float(np.log(inertia + 1e-12))) for (k, b), (_, inertia) in fits.items()], "k long, b long, w double")
     own, ref = F.max(F.when(F.col("b") == 0, F.col("w"))), F.when(F.col("b") > 0, F.col("w"))
     return w.groupBy("k").agg(own.alias("log_inertia"), (F.avg(ref) - own).alias("gap"), (F.sqrt(F.lit(1 + 1 / references)) * F.stddev_samp(ref)).alias("gap_sk"))
 
 
 def prediction_strength(points: DataFrame, ks: list[int], repeats: int = 5, seed: int = 42) -> DataFrame:
     """``k, strength``: the weakest test cluster's share of pairs that the training centres keep together, averaged over halves."""
-    _, x = matrix(points)
-
-    def cell(x, k, r):
-        k = int(k)
-        order = np.random.default_rng(seed + 2_000_000 + 10_000 * k + int(r)).permutation(len(x))
-        train, test = x[order[: len(x) // 2]], x[order[len(x) // 2 :]]
-        if len(test) <= k or len(train) <= k:
-            return [{"k": k, "s": float("nan")}]
-        centres, own = kmeans(train, k, seed + k)[1], kmeans(test, k, seed + k)[0]
-        given = ((test[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
-        shares = []
-        for j in np.unique(own):
-            n = (own == j).sum()
-            if n >= 2:
-                c = np.bincount(given[own == j])
-                shares.append((c * (c - 1)).sum() / (n * (n - 1)))
-        return [{"k": k, "s": float(min(shares)) if shares else float("nan")}]
-
-    s = grid(points, [(k, r) for k in ks for r in range(repeats)], "k long, r long", x, cell, "k long, s double")
+    rows = Rows(points)
+    half = rows.n // 2
+    fits = {}
+    for k, r in ((int(k), r) for k in ks for r in range(repeats) if half > int(k)):
+        part = rows.part(seed + 2_000_000 + 10_000 * k + r, half)
+        fits |= {(k, r, side): Fit(k, seed + k, ("part", part, side)) for side in (0, 1)}
+    centres = {n: c for n, (c, _) in passes.kmeans(rows, fits).items()} if fits else {}
+
+    def together(x: np.ndarray, number: int, f: Fit) -> tuple:
+        t = np.zeros((f.k, f.k))
+        np.add.at(t, (passes.nearest(x, f.c[1]), passes.nearest(x, f.c[0])), 1)
+        return (t,)
+
+    tests = {n[:2]: f._replace(c=(centres[(*n[:2], 0)], centres[n])) for n, f in fits.items() if n[2]}
+    out = [(int(k), float("nan")) for k in ks]
+    for (k, _), (t,) in (rows.fold(tests, together) if tests else {}).items():
+        n = t.sum(axis=1)
+        shares = ((t * (t - 1)).sum(axis=1) / np.maximum(n * (n - 1), 1))[n >= 2]
+        out.append((k, float(shares.min()) if len(shares) else float("nan")))
+    rows.done()
+    s = points.sparkSession.createDataFrame(out, "k long, s double")
     return s.groupBy("k").agg(F.avg(F.when(~F.isnan("s"), F.col("s"))).alias("strength"))
 
 
-def rand_index(a: np.ndarray, b: np.ndarray) -> float:
-    t = np.zeros((a.max() + 1, b.max() + 1))
-    np.add.at(t, (a, b), 1)
+def _rand(t: np.ndarray) -> float:
     two = lambda n: (n * (n - 1) / 2).sum()
-    s, sa, sb, n = two(t), two(t.sum(1)), two(t.sum(0)), len(a)
+    s, sa, sb, n = two(t), two(t.sum(1)), two(t.sum(0)), t.sum()
     e = sa * sb / (n * (n - 1) / 2)
     return 1.0 if (sa + sb) / 2 == e else float((s - e) / ((sa + sb) / 2 - e))
 
 
-def bootstrap_ari(points: DataFrame, k: int, runs: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """One row ``mean_ari, std_ari, pairs`` over all pairs of refitted subsamples."""
-    _, x = matrix(points)
+def rand_index(a: np.ndarray, b: np.ndarray) -> float:
+    t = np.zeros((a.max() + 1, b.max() + 1))
+    np.add.at(t, (a, b), 1)
+    return _rand(t)
 
-    def cell(x, a, b):
-        some = [np.sort(np.random.default_rng(seed + int(r)).choice(len(x), int(share * len(x)), replace=False)) for r in (a, b)]
-        fits = [kmeans(x[i], k, seed + int(r))[0] for i, r in zip(some, (a, b), strict=True)]
-        _, ia, ib = np.intersect1d(*some, return_indices=True)
-        return [{"ari": rand_index(fits[0][ia], fits[1][ib])}]
 
-    pairs = grid(points, [(a, b) for a in range(runs) for b in range(a)], "a long, b long", x, cell, "ari double")
+def bootstrap_ari(points: DataFrame, k: int, runs: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """One row ``mean_ari, std_ari, pairs`` over all pairs of refitted subsamples."""
+    rows = Rows(points)
+    fits = passes.kmeans(rows, {r: Fit(k, seed + r, ("part", rows.part(seed + r, int(share * rows.n)), 0)) for r in range(runs)})
+    taken = rows.taken
+
+    def both(x: np.ndarray, number: int, f: Fit) -> tuple:
+        t = np.zeros((k, k))
+        some = np.logical_and(*(passes.members(len(x), number, seed + r, taken) for r in f.seed))
+        np.add.at(t, tuple(passes.nearest(x[some], fits[r][0]) for r in f.seed), 1)
+        return (t,)
+
+    tables = rows.fold({(a, b): Fit(k, (a, b)) for a in range(runs) for b in range(a)}, both)
+    rows.done()
+    pairs = points.sparkSession.createDataFrame([(_rand(t),) for (t,) in tables.values()], "ari double")
     return pairs.agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"), F.count(F.lit(1)).alias("pairs"))
 
 
 def hdbscan(x: np.ndarray, smallest: int, min_samples: int) -> np.ndarray:
     """Labels by excess of mass over the condensed tree of mutual reachability; noise is -1."""
-    n = len(x)
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1), 0))
-    core = np.partition(d, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
-    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
-    # Prim's tree, then single linkage by ascending edges
-    inside, best, source, edges = np.zeros(n, bool), reach[0].copy(), np.zeros(n, int), []
-    inside[0] = True
-    for _ in range(n - 1):
-        j = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[j], source[j], j))
-        inside[j] = True
-        closer = reach[j] < best
-        best[closer], source[closer] = reach[j][closer], j
+    d = passes.distances(x, x)
+    m = min(min_samples, len(x)) - 1
+    return condensed(len(x), passes.prim(d, np.partition(d, m, axis=1)[:, m]), smallest)
+
+
+def condensed(n: int, tree: tuple[np.ndarray, np.ndarray, np.ndarray], smallest: int) -> np.ndarray:
+    """Labels by excess of mass from a spanning tree's edges: single linkage by ascending edges, then the condensed tree."""
+    edges = list(zip(*(z.tolist() for z in tree), strict=True))
     parent, node, size, kids = list(range(n)), list(range(n)), [1] * n, {}
 
     def find(i: int) -> int:
@@ -265,59 +247,89 @@ def hdbscan(x: np.ndarray, smallest: int, min_samples: int) -> np.ndarray:
 
 
 def hdbscan_grid(points: DataFrame, sizes: list[int], samples: list[int]) -> DataFrame:
-    """One row per cell: clusters, noise, clustered share and silhouette of the clustered points."""
-    _, x = matrix(points, 5_000)
+    """One row per cell: clusters, noise, clustered share and silhouette of the clustered points, over all rows."""
+    rows = Rows(points)
+    trees = passes.spanning_trees(rows, [int(m) for m in samples])
+    ends = np.cumsum(list(rows.sizes.values()))
+    labels = {(int(s), int(m)): condensed(rows.n, trees[int(m)], int(s)) for s in sizes for m in samples}
+    scored = {c: dict(zip(rows.sizes, np.split(label, ends[:-1]), strict=True)) for c, label in labels.items() if label.max() >= 1 and (label >= 0).sum() > label.max() + 1}
+    silhouettes = passes.silhouettes(rows, scored) if scored else {}
+    rows.done()
+    out = []
+    for (s, m), label in labels.items():
+        total, count = silhouettes.get((s, m), (float("nan"), 1))
+        out.append((s, m, int(label.max()) + 1, int((label < 0).sum()), float((label >= 0).mean()), total / count))
+    return points.sparkSession.createDataFrame(out, "min_cluster_size long, min_samples long, clusters long, noise long, clustered double, silhouette double")
+
+
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _digamma(v: np.ndarray) -> np.ndarray:
+    return (_lgamma(v + 1e-5) - _lgamma(np.maximum(v - 1e-5, 1e-9))) / 2e-5
+
+
+def _sums(r: np.ndarray, x: np.ndarray) -> tuple:
+    return r.sum(axis=0), r.T @ x, r.T @ x**2
 
-    def cell(x, s, m):
-        label = hdbscan(x, int(s), int(m))
-        inside = label >= 0
-        k = int(label.max()) + 1
-        score = _scores(x[inside], label[inside])[0] if k >= 2 and inside.sum() > k else float("nan")
-        return [{"min_cluster_size": int(s), "min_samples": int(m), "clusters": k, "noise": int((~inside).sum()), "clustered": float(inside.mean()), "silhouette": score}]
 
-    return grid(points, [(s, m) for s in sizes for m in samples], "s long, m long", x, cell, "min_cluster_size long, min_samples long, clusters long, noise long, clustered double, silhouette double")
+def _components(sums: tuple, prior: float, floor: float) -> tuple:
+    """(means, variances, what each component adds to a row's fit) from summed responsibilities."""
+    size = sums[0] + 1e-10
+    mean = sums[1] / size[:, None]
+    var = sums[2] / size[:, None] - mean**2 + floor
+    rest = size[::-1].cumsum()[::-1] - size
+    a, b = 1 + size, prior + rest
+    stick = _digamma(a) - _digamma(a + b)
+    left = np.concatenate([[0], np.cumsum((_digamma(b) - _digamma(a + b))[:-1])])
+    return mean, var, stick + left - 0.5 * (np.log(2 * np.pi * var).sum(-1) + mean.shape[1] / size)
+
+
+def _responsible(x: np.ndarray, mean: np.ndarray, var: np.ndarray, more: np.ndarray) -> np.ndarray:
+    fit = -0.5 * np.stack([((x - m) ** 2 / v).sum(-1) for m, v in zip(mean, var, strict=True)], axis=1) + more
+    fit -= fit.max(axis=1, keepdims=True)
+    r = np.exp(fit)
+    return r / r.sum(axis=1, keepdims=True)
+
+
+def _floor(n: int, x: np.ndarray, xx: np.ndarray) -> float:
+    return max(1e-3 * float((xx / n - (x / n) ** 2).mean()), 1e-6)
 
 
 def mixture(x: np.ndarray, cap: int, prior: float, seed: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """(responsibilities, weights) of a variational stick-breaking mixture with diagonal Gaussians."""
-    n, d = x.shape
-    label = kmeans(x, min(cap, n), seed, starts=1)[0]
-    r = np.eye(cap)[label] * 0.9 + 0.1 / cap
-    floor = max(1e-3 * x.var(axis=0).mean(), 1e-6)
-    lgamma = np.vectorize(__import__("math").lgamma)
-    digamma = lambda v: (lgamma(v + 1e-5) - lgamma(np.maximum(v - 1e-5, 1e-9))) / 2e-5
+    r = np.eye(cap)[kmeans(x, min(cap, len(x)), seed, starts=1)[0]] * 0.9 + 0.1 / cap
+    floor = _floor(len(x), x.sum(axis=0), (x**2).sum(axis=0))
     for _ in range(rounds):
-        size = r.sum(axis=0) + 1e-10
-        mean = (r.T @ x) / size[:, None]
-        var = (r.T @ x**2) / size[:, None] - mean**2 + floor
-        rest = size[::-1].cumsum()[::-1] - size
-        a, b = 1 + size, prior + rest
-        stick = digamma(a) - digamma(a + b)
-        left = np.concatenate([[0], np.cumsum((digamma(b) - digamma(a + b))[:-1])])
-        fit = -0.5 * (((x[:, None] - mean) ** 2 / var).sum(-1) + np.log(2 * np.pi * var).sum(-1) + d / size) + stick + left
-        fit -= fit.max(axis=1, keepdims=True)
-        r = np.exp(fit)
-        r /= r.sum(axis=1, keepdims=True)
+        r = _responsible(x, *_components(_sums(r, x), prior, floor))
     return r, r.mean(axis=0)
 
 
-def mixture_grid(points: DataFrame, caps: list[int], priors: list[float], seed: int = 42) -> DataFrame:
-    """One row per cell: active components, clusters and the confidence-weighted silhouette."""
-    _, x = matrix(points, 2_000)
-
-    def cell(x, cap, prior):
-        r, weight = mixture(x, int(cap), float(prior), seed)
+def mixture_grid(points: DataFrame, caps: list[int], priors: list[float], seed: int = 42, rounds: int = 60) -> DataFrame:
+    """One row per cell: active components and clusters over all rows, the confidence-weighted silhouette of a sample."""
+    rows = Rows(points)
+    floor = _floor(rows.n, *rows.fold({0: Fit(1, 0)}, lambda x, number, f: (x.sum(axis=0), (x**2).sum(axis=0)))[0])
+    begin = passes.kmeans(rows, {int(cap): Fit(min(int(cap), rows.n), seed) for cap in caps}, starts=1)
+    cells = {(int(c), float(p)): Fit(int(c), 0, c=begin[int(c)][0]) for c in caps for p in priors}
+    sums = rows.fold(cells, lambda x, number, f: _sums(np.eye(f.k)[passes.nearest(x, f.c)] * 0.9 + 0.1 / f.k, x))
+    for _ in range(rounds):
+        cells = {(c, p): f._replace(c=_components(sums[c, p], p, floor)) for (c, p), f in cells.items()}
+        sums = rows.fold(cells, lambda x, number, f: _sums(_responsible(x, *f.c), x))
+    counts = rows.fold(cells, lambda x, number, f: (np.bincount(_responsible(x, *f.c).argmax(axis=1), minlength=f.k),))
+    rows.done()
+    x = np.array(sample(points, SOFT_MOST).toPandas().sort_values("id")["v"].tolist(), dtype=float)
+    d, out = passes.distances(x, x), []
+    for (cap, prior), f in cells.items():
+        r = _responsible(x, *f.c)
         label, sure = np.unique(r.argmax(axis=1), return_inverse=True)[1], r.max(axis=1)
         soft = -1.0
         if label.max() > 0:
-            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1), 0))
             one = np.eye(label.max() + 1)[label]
-            size, sums = one.sum(0), d @ one
-            a = sums[np.arange(len(x)), label] / np.maximum(size[label] - 1, 1)
-            m = sums / size
+            size, near = one.sum(0), d @ one
+            a = near[np.arange(len(x)), label] / np.maximum(size[label] - 1, 1)
+            m = near / size
             m[np.arange(len(x)), label] = np.inf
             s = np.where(size[label] == 1, 0, (m.min(1) - a) / np.maximum(np.maximum(a, m.min(1)), 1e-300))
             soft = float((sure * s).sum() / sure.sum())
-        return [{"cap": int(cap), "prior": float(prior), "active": int((weight > 0.002).sum()), "clusters": int(label.max()) + 1, "soft_silhouette": soft}]
-
-    return grid(points, [(c, p) for c in caps for p in priors], "cap long, prior double", x, cell, "cap long, prior double, active long, clusters long, soft_silhouette double")
+        out.append((cap, prior, int((sums[cap, prior][0] / rows.n > 0.002).sum()), int((counts[cap, prior][0] > 0).sum()), soft))
+    return points.sparkSession.createDataFrame(out, "cap long, prior double, active long, clusters long, soft_silhouette double")

@@ -61,6 +61,41 @@ def test_grids_have_a_row_for_each_cell(spark):
     assert ari["pairs"] == 3 and ari["mean_ari"] <= 1
 
 
+def test_grids_fit_all_rows(spark, monkeypatch):
+    """No cap on the rows of a fit: the figures are those of numpy kernels over all of them."""
+    monkeypatch.setattr(clustering.passes, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(m, 0.1, (n, 3)) for m, n in ((0, 150), (3, 100), (6, 90))])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    row = clustering.kmeans_grid(points, [3], most=50).first()
+    assert math.isclose(row["inertia"], clustering.kmeans(x, 3, 1)[2], rel_tol=1e-9) and row["silhouette"] > 0.9
+    tree = clustering.passes.spanning_trees(r := clustering.passes.Rows(points), [5])[5]
+    d = clustering.passes.distances(x, x)
+    assert len(r.sizes) > 3 and math.isclose(tree[0].sum(), clustering.passes.prim(d, np.sort(d, axis=1)[:, 4])[0].sum())
+    label = clustering.hdbscan(x, 10, 5)
+    got = clustering.hdbscan_grid(points, [10], [5]).first()
+    assert (got["clusters"], got["noise"]) == (label.max() + 1, (label < 0).sum())
+    inside = label >= 0
+    one = np.eye(label.max() + 1)[label[inside]]
+    m = d[np.ix_(inside, inside)] @ one / (one.sum(axis=0) - one)
+    a = (m * one).sum(axis=1)
+    b = (d[np.ix_(inside, inside)] @ one / one.sum(axis=0) + one * 1e9).min(axis=1)
+    assert math.isclose(got["silhouette"], ((b - a) / np.maximum(a, b)).mean(), rel_tol=1e-6)
+    assert clustering.mixture_grid(points, [6], [1.0]).first()["clusters"] >= 3
+    assert clustering.bootstrap_ari(points, 3, runs=3).first()["mean_ari"] == 1
+    assert clustering.prediction_strength(points, [3], repeats=2).first()["strength"] == 1
+    assert clustering.gap_statistic(points, [3], references=2).first()["gap"] > 0
+
+
+def test_grids_have_no_cap_on_rows(spark):
+    """More rows than the 20,000 and 5,000 that grids once stopped at, with a far cluster of 12."""
+    x = np.concatenate([np.random.default_rng(4).normal(0, 1, (20_400, 2)), np.random.default_rng(5).normal(900, 1, (12, 2))])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    assert math.isclose(clustering.kmeans_grid(points, [2]).first()["inertia"], clustering.kmeans(x, 2, 1, starts=1)[2], rel_tol=1e-9)
+    got, label = clustering.hdbscan_grid(points.where("id >= 15400"), [10], [5]).first(), clustering.hdbscan(x[15_400:], 10, 5)
+    assert (got["clusters"], got["noise"]) == (label.max() + 1, (label < 0).sum())
+
+
 def test_csv_and_staged_writes(spark, tmp_path):
     assert io.read_csv(spark, str(tmp_path / "none.csv"), ["a"]).count() == 0
     (tmp_path / "a.csv").write_text("a,x\n1,2\n,3\n")
