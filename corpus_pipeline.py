@@ -26,9 +26,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.with_unique_lines(docs)
 
 
+#: Similarity in percent from which the near-duplicate stage links texts.
+NEAR = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
-    return _only(docs, minhash.near_duplicates(docs).where("kept"))
+    return _only(docs, minhash.near_duplicates(docs, percent=NEAR).where("kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

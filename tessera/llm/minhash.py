@@ -32,6 +32,8 @@ from tessera.llm.shared import durable, narrow
 SHINGLE = 5
 #: Registers: BANDS bands of ROWS; at a similarity of 0.85 a pair shares no band with a probability of about 1e-5.
 BANDS, ROWS = 24, 6
+#: That probability at most; below 0.85 bands have fewer rows and are more (28 of 5 at 0.80).
+MISSED = 2e-5
 #: Scale of the registers: base, rate and the largest value.
 BASE, RATE, TOP = 1.02, 20.0, 65_000
 #: Log-likelihood by which a similarity below the threshold must win for a candidate to be dropped (6 standard deviations).
@@ -89,10 +91,16 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    banded = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), banded.shape[:2])
-    for r in range(ROWS):
+def rows_for(percent: int) -> int:
+    """The most rows of a band with which a pair at ``percent`` shares no band as rarely as ``MISSED``."""
+    return next((r for r in range(ROWS, 1, -1) if (1 - (percent / 100) ** r) ** (BANDS * ROWS // r) <= MISSED), 1)
+
+
+def band_keys(regs: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    bands = regs.shape[1] // rows
+    banded = regs[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), banded.shape[:2])
+    for r in range(rows):
         key = mix(key, 31) ^ banded[:, :, r]
     return mix(key, 32).astype(np.int64)
 
@@ -122,21 +130,24 @@ def doubtful(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, per
     return (fit.max(axis=1) - best <= DOUBT) & (np.minimum(n_a, n_b) * 100 >= percent * np.maximum(n_a, n_b))
 
 
-def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in grouped(it, SLICE_BYTES):
-        keys, at = shingle_sets(texts)
-        n = np.diff(at)
-        full = n > 0
-        regs = registers(keys, at[np.append(full, True)]) if full.any() else np.empty((0, BANDS * ROWS), np.uint16)
-        bands = band_keys(regs)
-        r, b, k = [None] * len(ids), [None] * len(ids), 0
-        for i in np.flatnonzero(full).tolist():
-            r[i], b[i] = regs[k].tobytes(), bands[k]
-            k += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(set_ids(keys, at), pa.int64(), mask=~full), pa.array(r, pa.binary()), pa.array(b, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "node", "regs", "bands"],
-        )
+def _sketch(rows: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in grouped(it, SLICE_BYTES):
+            keys, at = shingle_sets(texts)
+            n = np.diff(at)
+            full = n > 0
+            regs = registers(keys, at[np.append(full, True)]) if full.any() else np.empty((0, BANDS * ROWS), np.uint16)
+            bands = band_keys(regs, rows)
+            r, b, k = [None] * len(ids), [None] * len(ids), 0
+            for i in np.flatnonzero(full).tolist():
+                r[i], b[i] = regs[k].tobytes(), bands[k]
+                k += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(set_ids(keys, at), pa.int64(), mask=~full), pa.array(r, pa.binary()), pa.array(b, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "node", "regs", "bands"],
+            )
+
+    return run
 
 
 def _filter_bits(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -265,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest id reachable, ``kept`` whether it is the row's own.
     """
     spark, rows = docs.sparkSession, narrow(docs, id_col, text_col)
-    sketches = durable(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, regs binary, bands array<long>"))
+    sketches = durable(rows.mapInArrow(_sketch(rows_for(percent)), "doc_id long, n_shingles long, node long, regs binary, bands array<long>"))
     nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     banded = nodes.select("node", F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
