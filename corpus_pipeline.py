@@ -10,11 +10,6 @@ from tessera.llm.queries import bpe_digests
 from tessera.llm.shared import durable
 
 
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose id has a verdict row."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the fitted trees go."""
     trees = quality.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -31,8 +26,16 @@ NEAR = 80
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return _only(docs, minhash.near_duplicates(docs, percent=NEAR).where("kept"))
+    """One row of each near-duplicate component stays: of the smallest id, a null id last.
+
+    Rows are told apart by their place, not by id; the place is stable because ``docs`` is a durable
+    result of the stage before.
+    """
+    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    groups = minhash.near_duplicates(placed, id_col="__row", percent=NEAR).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("__row")
+    stay = groups.join(placed.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first)
+    return placed.join(stay.select("__row"), "__row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
