@@ -1,32 +1,51 @@
-"""Packed routing of hashes between batches of texts and the parts that own them.
-
-Rows per word or per byte position would swamp a shuffle, so texts are packed into batches of about
-``BATCH_BYTES`` and what a batch asks about (each distinct key once) travels as arrays, one row for
-each batch and part.  The part that owns a range of keys answers every batch with one byte per key,
-in the order asked, and the answers meet their batch again by its number.  A key occurs at most once
-per batch, so a frequent word, line or passage adds no more rows or bytes to its part than any other.
+"""Packed routing of keys between batches of texts and the parts that own them.
+
+Rows per word or per byte position would swamp a shuffle, so texts are packed into batches and what a
+batch asks about (each distinct key once) travels as arrays, one row for each batch and part.  The part
+that owns a range of keys answers every batch in the order asked.  A batch's answers go to a file in the
+shared folder and only their place travels on, so that later rounds join light rows.  A key occurs at
+most once per batch, so a frequent word, line or passage adds no more rows or bytes to its part than any
+other.
+
+Batches and parts grow with the square root of the input (``batch_bytes``), so that a row between a
+batch and a part holds some twenty keys at any size: 1 MB to some 30 GB, 6 MB at 1 TB, 64 MB at 100 TB.
+A text longer than a batch is cut into pieces that overlap, where the operator says how.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import durable, fresh_dir, narrow, parts_for, trim
+from tessera.llm.shared import column, durable, free, fresh_dir, has_store, narrow, open_store, parts_for, trim
 
-#: Bytes of text in a batch; a longer text is a batch of its own.  Raise it with the input (64 MB at 100 TB), so that rows between batches and parts stay worth their overhead.
-BATCH_BYTES = 1 << 20
-#: Bytes of keys in a part.
+#: Bytes of text in a batch, at least and at most.
+BATCH_BYTES, MOST_BYTES = 1 << 20, 64 << 20
+#: Bytes of keys in a part, at least; parts grow like batches.
 PART_BYTES = 12 << 20
 
-BATCH_SCHEMA = "batch long, ids array<long>, sizes array<long>, blob binary, place string, n_bytes long"
+BATCH_SCHEMA = "batch long, ids array<long>, sizes array<long>, blob binary, place string, n_bytes long, row long, piece int, own long"
+
+#: Where a long text is cut: (text, bytes) to (start, end of what is the piece's own, end with the overlap) of each piece.
+Cutter = Callable[[bytes, int], list[tuple[int, int, int]]]
+
+
+def batch_bytes(n_bytes: float) -> int:
+    """Bytes of text in a batch for an input of ``n_bytes``."""
+    return int(min(MOST_BYTES, max(BATCH_BYTES, (40 * n_bytes) ** 0.5)))
+
+
+def input_bytes(docs: DataFrame) -> float:
+    """Spark's estimate of a frame's size; 0 where it has none."""
+    size = float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1e17 else 0.0
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -58,23 +77,57 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
     trim()
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, keep: list[str] = (), apart: bool = False) -> DataFrame:
+class Blobs:
+    """One file of this task attempt for blobs; opened at the first one."""
+
+    def __init__(self, folder: str):
+        self.folder, self.out, self.at, self.name = folder, None, 0, ""
+
+    def put(self, blob: bytes) -> str:
+        """Where the blob is from now on."""
+        if self.out is None:
+            task = TaskContext.get()
+            self.name = f"{self.folder}/{task.partitionId()}-{task.taskAttemptId()}"
+            store, path = open_store(self.name)
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            self.out = store.open_output_stream(path)
+        self.out.write(blob)
+        self.at += len(blob)
+        return f"{self.at - len(blob)}:{len(blob)}:{self.name}"
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+def fetch(place: str, blob: bytes) -> bytes:
+    if not place:
+        return blob
+    start, size, name = place.split(":", 2)
+    store, path = open_store(name)
+    with store.open_input_file(path) as f:
+        return f.read_at(int(size), int(start))
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, keep: list[str] = (), apart: bool = False, cut: Cutter | None = None) -> Packed:
     """Durable batches of compressed texts; null texts become empty, null ids stay null.
 
     Columns named in ``keep`` travel along as ``rest``, an array of structs.  With ``apart`` the
     compressed texts go to files in the shared folder and the rows hold their place there, so that
     several rounds of answers can join the batches without shuffling texts; ``shared.release``
     removes the files.  A file's name has its task attempt in it, and rows name the attempt that
-    made them.
+    made them.  With ``cut`` each piece of a text longer than ``limit`` is a batch of its own: ``row``
+    is its text's number, ``piece`` its place there (else -1), ``own`` the bytes without the overlap.
     """
-    limit = limit or BATCH_BYTES
+    limit = limit or batch_bytes(input_bytes(docs))
+    apart = apart and has_store(docs.sparkSession)
     folder = fresh_dir(docs.sparkSession, "texts") if apart else ""
     rows = narrow(docs, id_col, text_col)
     if keep:
-        rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.struct(*(docs[c] for c in keep)).alias("rest"))
+        rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"), F.struct(*(column(docs, c) for c in keep)).alias("rest"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, k = zstandard.ZstdCompressor(level=1), 0
+        squeeze, k, kind, blobs = zstandard.ZstdCompressor(level=1), 0, None, Blobs(folder)
 
         def typed() -> Iterator[pa.RecordBatch]:
             nonlocal kind
@@ -82,46 +135,38 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
                 kind = b.schema.field("rest").type if keep else None
                 yield b
 
-        kind, out, at = None, None, 0
         for ids, texts, more in grouped_rows(typed(), limit):
-            raw = b"".join(texts)
-            blob = squeeze.compress(raw)
-            place = ""
-            if apart:
-                if out is None:
-                    task = TaskContext.get()
-                    name = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}"
-                    store, path = pafs.FileSystem.from_uri(name)
-                    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    out = store.open_output_stream(path)
-                out.write(blob)
-                place, at, blob = f"{at}:{len(blob)}:{name}", at + len(blob), b""
-            columns = [
-                pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()),
-                pa.array([ids], pa.list_(pa.int64())),
-                pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([blob], pa.binary()),
-                pa.array([place], pa.string()),
-                pa.array([len(raw)], pa.int64()),
-            ]
-            if keep:
-                columns.append(pa.array([more], pa.list_(kind)))
-            yield pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "sizes", "blob", "place", "n_bytes", *(["rest"] if keep else [])])
-            k += 1
-        if out is not None:
-            out.close()
+            pieces = cut(texts[0], limit) if cut and len(texts) == 1 and len(texts[0]) > limit else []
+            row = TaskContext.get().partitionId() << 32 | k
+            for n, (start, own, end) in enumerate(pieces or [(0, 0, 0)]):
+                some = [texts[0][start:end]] if pieces else texts
+                raw = b"".join(some)
+                blob, place = squeeze.compress(raw), ""
+                if apart:
+                    place, blob = blobs.put(blob), b""
+                columns = [
+                    pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()),
+                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([[len(t) for t in some]], pa.list_(pa.int64())),
+                    pa.array([blob], pa.binary()),
+                    pa.array([place], pa.string()),
+                    pa.array([len(raw)], pa.int64()),
+                    pa.array([row], pa.int64()),
+                    pa.array([n if pieces else -1], pa.int32()),
+                    pa.array([own - start if pieces else len(raw)], pa.int64()),
+                ]
+                if keep:
+                    columns.append(pa.array([more], pa.list_(kind)))
+                yield pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "sizes", "blob", "place", "n_bytes", "row", "piece", "own", *(["rest"] if keep else [])])
+                k += 1
+        blobs.close()
 
     schema = BATCH_SCHEMA + (f", rest array<{rows.schema['rest'].dataType.simpleString()}>" if keep else "")
-    return durable(rows.mapInArrow(run, schema))
+    return Packed(durable(rows.mapInArrow(run, schema)))
 
 
 def unpack(sizes: list[int], blob: bytes, place: str) -> list[bytes]:
-    if place:
-        start, size, name = place.split(":", 2)
-        store, path = pafs.FileSystem.from_uri(name)
-        with store.open_input_file(path) as f:
-            blob = f.read_at(int(size), int(start))
-    raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, sum(sizes)))
+    raw = zstandard.ZstdDecompressor().decompress(fetch(place, blob), max_output_size=max(1, sum(sizes)))
     at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     return [raw[at[i] : at[i + 1]] for i in range(len(sizes))]
 
@@ -134,15 +179,15 @@ def id_array(ids: list) -> np.ndarray:
     return np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
 
 
-def batch_rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes], dict]]:
-    """(batch, ids, texts, answers by channel) for each row of packed batches."""
+def batch_rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], dict]]:
+    """(ids, texts, the row with its answers) for each row of packed batches."""
     for b in it:
         names = [n for n in b.schema.names if n != "rest"]
         for i in range(b.num_rows):
             row = {n: b.column(n)[i].as_py() for n in names}
             if "rest" in b.schema.names:
                 row["rest"] = b.column("rest")[i].values
-            yield row["batch"], row["ids"], unpack(row["sizes"], row["blob"], row["place"]), row
+            yield row["ids"], unpack(row["sizes"], row["blob"], row["place"]), row
     trim()
 
 
@@ -153,48 +198,99 @@ def split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+#: What deals the entries to parts (well-mixed 64-bit numbers), and the columns that travel.
 Channel = tuple[np.ndarray, list[np.ndarray]]
 
 
-def _encode(column: np.ndarray, width: str) -> bytes:
-    if width == "u6":  # the upper 48 bits
-        return (column.astype("<u8") >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return column.astype(width).tobytes()
-
-
 def _size(width: str) -> int:
+    """Bytes of a column's entries: ``u6`` holds numbers below 2**48, other widths are dtypes."""
     return 6 if width == "u6" else np.dtype(width).itemsize
 
 
+def _encode(column: np.ndarray, width: str) -> bytes:
+    if width == "u6":
+        return np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return column.astype(width).tobytes()
+
+
 def _decode(raw: bytes, width: str, count: int, at: int) -> np.ndarray:
     if width == "u6":
         out = np.zeros((count, 8), dtype=np.uint8)
         out[:, :6] = np.frombuffer(raw, np.uint8, 6 * count, at).reshape(-1, 6)
-        return out.view("<u8").ravel() << np.uint64(16)
+        return out.view("<u8").ravel()
     return np.frombuffer(raw, dtype=width, count=count, offset=at)
 
 
-def route(
-    batches: DataFrame,
-    ask: Callable[[list, list[bytes], dict], list[Channel]],
-    answer: Callable[[list[list[list[np.ndarray]]]], list[list[np.ndarray]]],
-    widths: list[list[str]],
-    key_bytes_per_byte: float,
-    name: str,
-) -> DataFrame:
-    """Answers for what each batch asks: ``to long, <name> array<struct<part, bits>>``.
-
-    ``ask(ids, texts, row)`` gives for each channel the distinct keys and the columns that travel
-    with them (dtypes ``widths``).  ``answer`` gets, for one part, each asking batch's columns by
-    channel, and gives for each batch and channel one byte per entry.  ``ask`` must give the same
-    entries in the same order wherever it runs.
-    """
+@dataclass(frozen=True)
+class Told:
+    """Reads a batch's answers, by channel and in the order of its keys."""
+
+    name: str
+    parts: int
+    back: tuple[str, ...]
+
+    def __call__(self, row: dict, *channels: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(len(keys), dtype="<u8" if w == "u6" else w) for keys, w in zip(channels, self.back, strict=True)]
+        raw = fetch(row[f"{self.name}_place"] or "", row[f"{self.name}_blob"] or b"")
+        if raw:
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            part, size = np.frombuffer(raw, "<i4", n, 8), np.frombuffer(raw, "<i8", n, 8 + 4 * n)
+            start = 8 + 12 * n + np.cumsum(size) - size
+            places = [split(keys, self.parts) for keys in channels]
+            for p, at in zip(part.tolist(), start.tolist(), strict=True):
+                for o, w, (order, bound) in zip(out, self.back, places, strict=True):
+                    count = int(bound[p + 1] - bound[p])
+                    o[order[bound[p] : bound[p + 1]]] = _decode(raw, w, count, at)
+                    at += count * _size(w)
+        return out
+
+
+class Packed:
+    """Batches of texts, and the places of the answers that they have got so far."""
+
+    def __init__(self, batches: DataFrame):
+        self.batches = batches
+        row = batches.agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("piece") >= 0).alias("pieces")).first()
+        self.n_bytes, self.n_batches, self.n_pieces = row["bytes"] or 0, row["rows"], row["pieces"]
+        self.spread = batches  # as they were read
+
+    def answered(self) -> DataFrame:
+        """Batches beside their answers, spread by their texts' size: a row is light, but what stands behind it is not."""
+        return self.spread
+
+    def route(
+        self,
+        ask: Callable[[list, list[bytes], dict], list[Channel]],
+        answer: Callable[[int, int, list[list[np.ndarray]]], list[np.ndarray]],
+        widths: list[list[str]],
+        back: list[str],
+        key_bytes_per_byte: float,
+        name: str,
+    ) -> Told:
+        """A round: all batches ask, and get the places of their answers (``<name>_place``, ``<name>_blob``) as columns; gives what reads them.
+
+        ``ask(ids, texts, row)`` gives for each channel the distinct keys and the columns that travel
+        with them (dtypes ``widths``).  ``answer(part, channel, got)`` gets each asking batch's columns
+        in the order of the batches' numbers, however rows arrive, and gives each batch an array of
+        ``back``'s dtype, one for each entry.  ``ask`` must give the same entries in the same order
+        wherever it runs; a part that is answered again gives the same answers.
+        """
+        rows, told = _route(self.spread, self.n_bytes, ask, answer, widths, back, key_bytes_per_byte, name)
+        self.batches = durable(self.batches.join(rows, self.batches["batch"] == rows["to"], "left").drop("to"))
+        free(self.batches.sparkSession)
+        parts = min(self.n_batches, parts_for(self.batches.sparkSession, self.n_bytes, 4 * batch_bytes(self.n_bytes)))
+        # by a hash, for Spark leaves out a repartition by what a join has dealt by, and then merges the light rows into few tasks
+        self.spread = self.batches.repartition(max(1, parts), F.xxhash64("batch"))
+        return told
+
+
+def _route(batches: DataFrame, total: int, ask, answer, widths: list[list[str]], back: list[str], key_bytes_per_byte: float, name: str) -> tuple[DataFrame, Told]:
     spark = batches.sparkSession
-    total = batches.agg(F.sum("n_bytes")).first()[0] or 0
-    parts = parts_for(spark, total * key_bytes_per_byte, PART_BYTES)
+    parts = parts_for(spark, total * key_bytes_per_byte, max(PART_BYTES, 4 * batch_bytes(total)))
+    folder = fresh_dir(spark, name) if has_store(spark) else ""
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids, texts, row in batch_rows(it):
+        for ids, texts, row in batch_rows(it):
             columns, bounds = [], []
             for (keys, some), kinds in zip(ask(ids, texts, row), widths, strict=True):
                 order, at = split(keys, parts)
@@ -208,74 +304,98 @@ def route(
                     counts[:, p].astype("<i8").tobytes() + b"".join(c[bounds[k, p] * n : bounds[k, p + 1] * n] for k, some in enumerate(columns) for c, n in some)
                     for p in full
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch] * len(full), pa.int64()), pa.array(rows, pa.binary())], names=["part", "batch", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), pa.array(rows, pa.binary())], names=["part", "batch", "entries"])
 
     def resolve(table: pa.Table) -> pa.Table:
-        got = []
+        table = table.sort_by("batch")
+        got: list[list[list[np.ndarray]]] = [[] for _ in widths]
         for raw in table.column("entries").to_pylist():
-            counts, at, channels = np.frombuffer(raw, "<i8", len(widths)).tolist(), 8 * len(widths), []
-            for n, kinds in zip(counts, widths, strict=True):
-                channels.append([])
+            counts, at = np.frombuffer(raw, "<i8", len(widths)).tolist(), 8 * len(widths)
+            for channel, n, kinds in zip(got, counts, widths, strict=True):
+                channel.append([])
                 for w in kinds:
-                    channels[-1].append(_decode(raw, w, n, at))
+                    channel[-1].append(_decode(raw, w, n, at))
                     at += n * _size(w)
-            got.append(channels)
-        bits = [b"".join(x.astype(np.uint8).tobytes() for x in some) for some in answer(got)]
+        part = table.column("part")[0].as_py()
+        said = [answer(part, k, some) for k, some in enumerate(got)]
+        bits = [b"".join(_encode(said[k][i], w) for k, w in enumerate(back)) for i in range(table.num_rows)]
         return pa.table({"part": table.column("part"), "batch": table.column("batch"), "bits": pa.array(bits, pa.binary())})
 
+    def store(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = Blobs(folder)
+        for b in it:
+            for to, said in zip(b.column("to").to_pylist(), b.column("said").to_pylist(), strict=True):
+                said.sort(key=lambda x: x["part"])
+                n = len(said)
+                blob = np.array([n], "<i8").tobytes() + np.array([x["part"] for x in said], "<i4").tobytes() + np.array([len(x["bits"]) for x in said], "<i8").tobytes() + b"".join(x["bits"] for x in said)
+                place = blobs.put(blob) if folder else ""
+                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([place], pa.string()), pa.array([None if folder else blob], pa.binary())], names=["to", f"{name}_place", f"{name}_blob"])
+        blobs.close()
+
     sent = batches.mapInArrow(send, "part int, batch long, entries binary")
     told = sent.groupBy("part").applyInArrow(resolve, "part int, batch long, bits binary")
-    by_batch = told.groupBy(F.col("batch").alias("to")).agg(F.collect_list(F.struct("part", "bits")).alias(name))
-    return durable(by_batch).withColumn(f"{name}_parts", F.lit(parts))
+    by_batch = told.groupBy(F.col("batch").alias("to")).agg(F.collect_list(F.struct("part", "bits")).alias("said"))
+    return by_batch.mapInArrow(store, f"to long, {name}_place string, {name}_blob binary"), Told(name, parts, tuple(back))
+
 
+def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows given by columns: where each distinct one first stands (in sorted order), each row's number, and counts."""
+    if len(columns) == 1:
+        _, first, at, count = np.unique(columns[0], return_index=True, return_inverse=True, return_counts=True)
+        return first, at, count
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), dtype=bool)
+    for k, c in enumerate(columns):
+        c = c[order]
+        new[1:] = new[1:] | (c[1:] != c[:-1]) if k else c[1:] != c[:-1]
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    return order[begin], at, np.diff(np.append(begin, len(order)))
 
-def with_answers(batches: DataFrame, *answers: DataFrame) -> DataFrame:
-    """Batches beside their answers, spread by their texts' size: a row is light, but what stands behind it is not."""
-    total = batches.agg(F.sum("n_bytes")).first()[0] or 0
-    for a in answers:
-        batches = batches.join(a, batches["batch"] == a["to"], "left").drop("to")
-    return batches.repartition(parts_for(batches.sparkSession, total, 16 << 20), "batch")
 
+def joined(got: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The batches' columns end to end, and where to split what is made of them."""
+    return [np.concatenate(c) for c in zip(*got, strict=True)], np.cumsum([len(g[0]) for g in got])[:-1]
 
-def told(channels: list[np.ndarray], row: dict, name: str) -> list[np.ndarray]:
-    """The answers to a batch's keys by channel, in the order of the keys."""
-    out = [np.zeros(len(keys), dtype=np.uint8) for keys in channels]
-    if row[name]:
-        places = [split(keys, row[f"{name}_parts"]) for keys in channels]
-        for x in row[name]:
-            p, at = x["part"], 0
-            for o, (order, bound) in zip(out, places, strict=True):
-                n = int(bound[p + 1] - bound[p])
-                o[order[bound[p] : bound[p + 1]]] = np.frombuffer(x["bits"], np.uint8, n, at)
-                at += n
-    return out
 
+#: Names have a part number and a number within the part: 2**47 in all, so that a flag goes beside them in 48 bits.
+PART_BITS = 22
 
-def shared_keys(got: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """1 where a key comes from several batches or its flag says that it is repeated in one; 2 more in the first batch that holds it.
 
-    Each batch's columns are its distinct keys and a flag.
+def names_of(part: int, number: np.ndarray) -> np.ndarray:
+    """Names that no other part gives, above 0: ``number`` counts the part's keys in sorted order."""
+    if part >= 1 << PART_BITS or (len(number) and int(number.max()) + 1 >= 1 << (47 - PART_BITS)):
+        raise OverflowError("too many names; parts must be smaller")
+    return (np.uint64(part) << np.uint64(47 - PART_BITS)) + number.astype(np.uint64) + np.uint64(1)
+
+
+def name_shared(part: int, got: list[list[np.ndarray]], keys: int) -> list[np.ndarray]:
+    """Names of what stands twice; 0 for what stands once.
+
+    Each batch's columns are ``keys`` columns of its distinct keys and a flag, whether a key stands twice in the batch.
     """
-    keys = np.concatenate([g[0] for g in got])
-    flags = np.concatenate([g[1] for g in got])
-    _, first, at, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    columns, cuts = joined(got)
+    _, at, count = distinct(*columns[:keys])
     many = count > 1
-    np.logical_or.at(many, at, flags > 0)
-    bits = many[at].astype(np.uint8)
-    bits[first] |= 2
-    return np.split(bits, np.cumsum([len(g[0]) for g in got])[:-1])
+    np.logical_or.at(many, at, columns[keys] > 0)
+    name = np.where(many, names_of(part, np.arange(len(count))), np.uint64(0))
+    return np.split(name[at], cuts)
 
 
-def first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the number of each key's distinct value, and counts."""
-    return np.unique(keys, return_inverse=True, return_counts=True)
+def mark_shared(got: list[list[np.ndarray]], keys: int) -> list[np.ndarray]:
+    """1 where a key comes from several batches or its flag says that it is repeated in one; 2 more in the first batch that holds it."""
+    columns, cuts = joined(got)
+    first, at, count = distinct(*columns[:keys])
+    many = count > 1
+    np.logical_or.at(many, at, columns[keys] > 0)
+    bits = many[at].astype(np.uint8)
+    bits[first] |= 2
+    return np.split(bits, cuts)
 
 
-def smaller_elsewhere(got: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """1 where some batch has the key with a smaller value.  Each batch's columns are its distinct keys and their smallest values."""
-    keys = np.concatenate([g[0] for g in got])
-    values = np.concatenate([g[1] for g in got])
-    distinct, at = np.unique(keys, return_inverse=True)
-    low = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(low, at, values)
-    return np.split((low[at] < values).astype(np.uint8), np.cumsum([len(g[0]) for g in got])[:-1])
+def lowest(number: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The smallest value of each of ``n`` numbers."""
+    low = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(low, number, values)
+    return low

@@ -9,10 +9,10 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
-_MULT = 0xD1342543DE82EF95 | 3
-_INV = pow(_MULT, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64) | U64(1)
-_powers: dict[str, np.ndarray] = {}
+#: Two independent families of polynomials.
+_MULTS = (0xD1342543DE82EF97, 0x2545F4914F6CDD1D)
+_BYTES = [np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64) | U64(1) for seed in (20240229, 20240301)]
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -24,30 +24,29 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def _power(n: int, inverse: bool) -> np.ndarray:
-    key = "inverse" if inverse else "power"
-    have = _powers.get(key)
+def _power(n: int, base: int) -> np.ndarray:
+    have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), _INV if inverse else _MULT & (2**64 - 1), dtype=np.uint64)
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(out)
         if n <= 1 << 22:  # arrays for a single huge text are not kept
-            _powers[key] = have
+            _powers[base] = have
     return have[:n]
 
 
 class Slices:
-    """Hashes of slices of a sequence of 64-bit values (or of bytes)."""
+    """Hashes of slices of a sequence of 64-bit values (or of bytes); another ``family`` gives independent ones."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, family: int = 0):
         if values.dtype == np.uint8:
-            values = _BYTE[values]
+            values = _BYTES[family][values]
         n = len(values)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(values * _power(n, False), out=self.sums[1:])
-        self.back = _power(n + 1, True)
+            np.cumsum(values * _power(n, _MULTS[family]), out=self.sums[1:])
+        self.back = _power(n + 1, pow(_MULTS[family], -1, 1 << 64))
 
     def hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -4,16 +4,19 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 ``MIN_CHARS`` code points that occur in two or more documents stay in the smallest document id only.
 The distinct line hashes of a shard get a minimal perfect hash; arrays beside it hold a fingerprint,
 the count of documents, and the smallest and largest id per slot, and the documents' packed hashes
-probe those arrays.  A line that half of all documents hold is one entry per batch of documents.
+probe those arrays.  A line that half of all documents hold is one entry per batch of documents.  Lines
+are told apart by 128 bits: 64 are looked up, 64 are the fingerprint, and lines that agree in the first
+only have slots of their own in a second perfect hash.
 
 Cases: a null or empty text is one empty line; lines with short or blank keys always stay; a line
 repeated in one document only stays as often as it stands there; rows with the same id count as one
-document; a null id sorts last.
+document; a null id sorts last; equal rows have equal results; an empty table gives none; other columns,
+whatever their names, come through ``with_unique_lines`` as they are; a very long text is one batch and
+is held whole, as its row is.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.exchange import batch_rows, id_array, pack, route, told, with_answers
-from tessera.llm.hashing import PerfectHash
+from tessera.llm.exchange import batch_rows, distinct, id_array, joined, pack
+from tessera.llm.hashing import PerfectHash, mix
+from tessera.llm.shared import column
 
 MIN_CHARS = 10
 
@@ -53,37 +57,64 @@ def _lines(ids: list, texts: list[bytes], least: int):
 def _ask(ids: list, texts: list[bytes], least: int):
     """The batch's distinct lines: hash, fingerprint, smallest and largest id, and number of documents."""
     who, doc, number, hashes = _lines(ids, texts, least)
-    keys, first, at = np.unique(hashes[:, 0], return_index=True, return_inverse=True)
-    low = np.full(len(keys), np.iinfo(np.int64).max)
-    high = np.full(len(keys), np.iinfo(np.int64).min)
-    if len(doc):
-        np.minimum.at(low, at, who[doc])
-        np.maximum.at(high, at, who[doc])
-    pairs = np.unique(np.stack([at, doc], axis=1), axis=0)[:, 0] if len(doc) else at
-    count = np.bincount(pairs, minlength=len(keys))
-    return who, doc, number, keys, at, [keys, hashes[first, 1], low, high, count]
-
-
-def _answer(got: list[list[list[np.ndarray]]]) -> list[list[np.ndarray]]:
-    """1: the key is in several documents, 2 more: the batch's smallest id is the smallest of all."""
-    got = [channels[0] for channels in got]
-    keys = np.unique(np.concatenate([g[0] for g in got]))
-    index = PerfectHash(keys)
-    n = len(keys)
-    prints, count = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-    for k, p, lo, hi, c in got:
-        slot = index.slot(k)
-        prints[slot] = p
-        np.add.at(count, slot, c)
-        np.minimum.at(low, slot, lo)
-        np.maximum.at(high, slot, hi)
-    out = []
-    for k, p, lo, _, _ in got:
-        slot = index.slot(k)
-        same = (slot >= 0) & (prints[slot] == p)
-        out.append([(same & (low[slot] != high[slot])).astype(np.uint8) | (same & (low[slot] == lo)).astype(np.uint8) << 1])
-    return out
+    first, at, _ = distinct(hashes[:, 0], hashes[:, 1])
+    low = np.full(len(first), np.iinfo(np.int64).max)
+    high = np.full(len(first), np.iinfo(np.int64).min)
+    np.minimum.at(low, at, who[doc])
+    np.maximum.at(high, at, who[doc])
+    each, _, _ = distinct(at, who[doc])
+    count = np.bincount(at[each], minlength=len(first))
+    keys = hashes[first, 0]
+    return who, doc, number, mix(keys, 51), at, [keys, hashes[first, 1], low, high, count]
+
+
+class Counts:
+    """A shard's arrays: a perfect hash of its distinct line hashes and, per slot, a fingerprint, a count of documents and their smallest and largest id.
+
+    Where several lines have one hash, the second and further ones have a hash mixed with their fingerprint in a perfect hash of their own.
+    """
+
+    def __init__(self, keys: np.ndarray, prints: np.ndarray):
+        first, _, _ = distinct(keys, prints)
+        keys, prints = keys[first], prints[first]
+        more = np.append(False, keys[1:] == keys[:-1])[: len(keys)]
+        self.index, self.more = PerfectHash(keys[~more]), PerfectHash(self._both(keys[more], prints[more]))
+        n = len(keys)
+        self.prints, self.count = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        self.low, self.high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        self.prints[self.index.slot(keys[~more])] = prints[~more]
+        self.prints[self.index.n + self.more.slot(self._both(keys[more], prints[more]))] = prints[more]
+
+    @staticmethod
+    def _both(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        return mix(keys ^ mix(prints, 53), 54)
+
+    def slot(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """The slot of each line; every line must be one of the shard's."""
+        slot = self.index.slot(keys)
+        other = self.prints[slot] != prints
+        slot[other] = self.index.n + self.more.slot(self._both(keys[other], prints[other]))
+        return slot
+
+    def add(self, keys: np.ndarray, prints: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> None:
+        slot = self.slot(keys, prints)
+        np.add.at(self.count, slot, count.astype(np.int64))
+        np.minimum.at(self.low, slot, low)
+        np.maximum.at(self.high, slot, high)
+
+    def probe(self, keys: np.ndarray, prints: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """1: several documents have the line (rows with one id are one); 2 more: the smallest id asked for is the smallest of all."""
+        slot = self.slot(keys, prints)
+        several = (self.count[slot] > 1) & (self.low[slot] != self.high[slot])
+        return several.astype(np.uint8) | (self.low[slot] == low).astype(np.uint8) << 1
+
+
+def _answer(got: list[list[np.ndarray]]) -> list[np.ndarray]:
+    (keys, prints, *_), _ = joined(got)
+    table = Counts(keys, prints)
+    for some in got:
+        table.add(*some)
+    return [table.probe(k, p, low) for k, p, low, _, _ in got]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS) -> DataFrame:
@@ -97,24 +128,25 @@ def with_unique_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A null text comes back empty.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    out = _dedup(docs, id_col, text_col, least, others)
+    plain = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"), *(column(docs, c).alias(f"c{i}") for i, c in enumerate(others)))
+    out = _dedup(plain, "doc_id", "text", least, plain.columns[2:])
     new = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text"), size_col: F.char_length("text").cast("long")}
-    return out.select(*((new[c] if c in new else F.col("rest").getField(c)).alias(c) for c in docs.columns))
+    return out.select(*((new[c] if c in new else F.col(f"rest.c{others.index(c)}")).alias(c) for c in docs.columns))
 
 
 def _dedup(docs: DataFrame, id_col: str, text_col: str, least: int, others: list[str]) -> DataFrame:
-    batches = pack(docs, id_col, text_col, keep=others)
+    packed = pack(docs, id_col, text_col, keep=others, apart=True)
 
     def ask(ids, texts, row):
-        _, _, _, keys, _, columns = _ask(ids, texts, least)
-        return [(keys, columns)]
+        _, _, _, place, _, columns = _ask(ids, texts, least)
+        return [(place, columns)]
 
-    answers = route(batches.drop("rest"), ask, _answer, [["<u8", "<u8", "<i8", "<i8", "<u4"]], 0.4, "lines")
+    told = packed.route(ask, lambda part, _, got: _answer(got), [["<u8", "<u8", "<i8", "<i8", "<u4"]], ["u1"], 0.4, "lines")
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, texts, row in batch_rows(it):
-            who, doc, number, keys, at, columns = _ask(ids, texts, least)
-            (bits,) = told([keys], row, "lines")
+        for ids, texts, row in batch_rows(it):
+            who, doc, number, place, at, columns = _ask(ids, texts, least)
+            (bits,) = told(row, place)
             low = np.where(bits & 2, columns[2], np.iinfo(np.int64).min)  # elsewhere no id of this batch is the smallest
             drop = (bits[at] & 1 == 1) & (who[doc] != low[at]) if len(doc) else np.zeros(0, bool)
             gone: dict[int, set[int]] = {}
@@ -131,9 +163,5 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, least: int, others: list
 
     schema = "doc_id long, n_lines long, n_dropped long, text string"
     if others:
-        schema += f", rest {batches.schema['rest'].dataType.elementType.simpleString()}"
-    return with_answers(batches, answers).mapInArrow(finish, schema)
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+        schema += f", rest {packed.batches.schema['rest'].dataType.elementType.simpleString()}"
+    return packed.answered().mapInArrow(finish, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, html, lines, minhash, oracles, quality, repeats, suffixes, tokens, urls
+from tessera.llm.shared import durable, workspace
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,8 +48,9 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.dedup_repeats(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    with workspace():
+        out = repeats.dedup_repeats(_table(spark, sf_dir, "documents"))
+        return durable(out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +59,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    with workspace():
+        out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+        return durable(out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +81,9 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffixes.dedup_suffixes(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("data", 256).alias("kept_sha256"))
+    with workspace():
+        out = suffixes.dedup_suffixes(_table(spark, sf_dir, "documents"))
+        return durable(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("data", 256).alias("kept_sha256")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

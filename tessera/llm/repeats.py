@@ -1,220 +1,352 @@
-"""Substring dedup of word windows by recompression.
-
-Words are named by hash, and rounds of recompression name short runs and pairs of neighbouring
-symbols; whether two symbols pair up depends on nothing but the two (a hash bit makes each a left or
-a right half), so equal substrings get equal interior symbols in whatever document they stand.  Two
-levels are used.  Shared phrases of high-level symbols show long repeats at once: every window inside
-one is a repeat.  Low-level symbols serve as anchors for what is left: each window has a longest
-interior symbol that its words alone determine, and only windows whose anchor occurs elsewhere are
-hashed and verified against each other; where a phrase has shown a repeat, one occurrence stands for
+"""Substring dedup of word windows by recompression in Spark rounds.
+
+A first round names the corpus's words: each batch asks with its distinct words, and the parts that own
+them number those that stand twice or more.  Each further round names, over the whole corpus, runs of
+one symbol and pairs of neighbouring symbols: a run is one symbol with its length, a bit of a symbol's
+hash makes it a left or a right half, and a left half joins the right half behind it.  Whether two
+symbols join depends on nothing but the two, so equal substrings get equal interior symbols in whatever
+document they stand, and names agree because one part gives them.  What stands once in the corpus gets no
+name and joins nothing further.
+
+Strings of high-level symbols that stand twice show long repeats at once: every window inside one is a
+repeat.  What such a string does not settle, mostly windows across a repeat's ends, is verified window by
+window on the words' names; of these windows only those are asked about whose anchor, the smallest of
+their word q-grams, stands elsewhere too; and where a string has shown a repeat, one occurrence stands for
 all of them.
 
-Names are content hashes, so they agree between executors without a dictionary.
+Words are told apart by 128 bits of a hash, runs and pairs by their names, strings and windows by 96 bits
+of two hashes of their names.
 
 Cases: a null or wordless text keeps nothing and removes nothing; a text shorter than a window keeps
 all; repeats within one document count; overlapping windows of a periodic text are repeats of each
-other; rows with the same id count one by one.
+other; rows with the same id count one by one, and null ids like others; equal rows have equal results;
+an empty table gives none; columns besides the id and the text are not looked at; a text longer than a
+batch is worked on in overlapping pieces, so that only its finished row is ever held whole.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
-from itertools import compress
+from functools import cached_property
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from tessera.llm.exchange import batch_rows, first_of, pack, route, shared_keys, told, with_answers
+from tessera.llm.exchange import Told, batch_rows, distinct, mark_shared, name_shared, pack
 from tessera.llm.hashing import Joined, Slices, mix
+from tessera.llm.suffixes import sliding_min
 
 WINDOW = 35
-#: After the run round and two pair rounds a symbol has at most 8 words, and what stands outside a window can touch symbols in its outer 8 words only.
-ANCHOR_ROUNDS, REACH = 2, 8
-#: Pair rounds of the high-level symbols, about (4/3)**8 = 10 words each.
-PHRASE_ROUNDS = 8
+#: Words of the q-grams that anchors are chosen by.
+GRAM = 8
+#: Rounds of runs and pairs: symbols have about (4/3)**5 = 4 words then, but for runs, which have any number.
+ROUNDS = 5
+_WORD, _SPACE = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
 
+#: Keys of a batch: the number of each asker's key, what deals the keys, and the columns that travel.
+Keys = tuple[np.ndarray, np.ndarray, list[np.ndarray]]
 
-class Symbols:
-    """A parse of all words of a batch: names and first words; documents never share a symbol."""
 
-    def __init__(self, words: np.ndarray, doc: np.ndarray):
-        self.name, self.start, self.doc = words, np.arange(len(words)), doc
+def _keys(*columns: np.ndarray) -> Keys:
+    """Distinct keys of several columns, and whether each stands here twice."""
+    first, at, count = distinct(*columns)
+    some = [c[first] for c in columns]
+    place = np.zeros(len(first), dtype=np.uint64)
+    for k, c in enumerate(some):
+        place = mix(place ^ c.astype(np.uint64), 60 + k)
+    return at, place, [*some, (count > 1).astype(np.uint8)]
+
 
-    def _merge(self, with_next: np.ndarray, seed: int) -> None:
-        i = np.flatnonzero(with_next)
+class Symbols:
+    """A parse of a batch's words: names (0: none), first words and documents; documents never share a symbol."""
+
+    def __init__(self, name: np.ndarray, doc: np.ndarray):
+        self.name, self.start, self.doc = name, np.arange(len(name)), doc
+        self._wanted: tuple | None = None
+
+    def wanted(self, round_: int) -> Keys:
+        """What a round asks for: pairs of runs, and runs that pair with nothing, as (name, length, name, length)."""
+        n = len(self.name)
+        same = np.zeros(n, dtype=bool)
+        if n > 1:
+            same[1:] = (self.name[1:] == self.name[:-1]) & (self.doc[1:] == self.doc[:-1]) & (self.name[1:] > 0)
+        head = np.flatnonzero(~same)
+        size = np.diff(np.append(head, n)).astype(np.uint64)
+        name, doc = self.name[head], self.doc[head]
         with np.errstate(over="ignore"):
-            self.name = self.name.copy()
-            self.name[i] = mix(mix(self.name[i], seed) * np.uint64(3) + self.name[i + 1], seed + 1)
-        keep = np.ones(len(self.name), dtype=bool)
-        keep[i + 1] = False
-        self.name, self.start, self.doc = self.name[keep], self.start[keep], self.doc[keep]
-
-    def runs(self) -> None:
-        """Name the runs of exactly two equal symbols; longer runs stay as they are, so that no symbol grows without bound."""
-        if len(self.name) > 1:
-            same = (self.name[1:] == self.name[:-1]) & (self.doc[1:] == self.doc[:-1])
-            beside = np.zeros(len(same), dtype=bool)
-            beside[1:] |= same[:-1]
-            beside[:-1] |= same[1:]
-            self._merge(np.append(same & ~beside, False), 71)
-
-    def pairs(self, round_: int) -> None:
-        if len(self.name) > 1:
-            left = mix(self.name, 100 + round_) & np.uint64(1) == 1
-            self._merge(np.append(left[:-1] & ~left[1:] & (self.doc[1:] == self.doc[:-1]), False), 200 + 2 * round_)
-
-
-def range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The smallest of ``values[low:high]`` for each (non-empty) range."""
-    out = np.empty(len(low), dtype=values.dtype)
-    width = np.frexp((high - low).astype(float))[1] - 1
-    level = values
-    for k in range(int(width.max(initial=-1)) + 1):
-        if k:
-            level = np.minimum(level[: -(1 << (k - 1))], level[1 << (k - 1) :])
-        at = np.flatnonzero(width == k)
-        out[at] = np.minimum(level[low[at]], level[high[at] - (1 << k)])
-    return out
+            left = mix(name * np.uint64(31) + size, 100 + round_) & np.uint64(1) == 1
+        joins = np.zeros(len(head), dtype=bool)
+        joins[:-1] = left[:-1] & ~left[1:] & (name[:-1] > 0) & (name[1:] > 0) & (doc[1:] == doc[:-1])
+        behind = np.append(False, joins[:-1])  # the second half of a pair
+        alone = ~joins & ~behind & (size > 1) & (name > 0)
+        asks = np.flatnonzero(joins | alone)
+        other = np.minimum(asks + 1, len(head) - 1)
+        pair = joins[asks]
+        columns = [name[asks], size[asks], np.where(pair, name[other], np.uint64(0)), np.where(pair, size[other], np.uint64(0))]
+        at, place, some = _keys(*columns)
+        self._wanted = head, behind, asks, at
+        return at, place, some
+
+    def named(self, said: np.ndarray) -> None:
+        """Take the names that the round gave; what stands once has none from now on."""
+        head, behind, asks, at = self._wanted
+        name = self.name[head]
+        name[asks] = said[at]
+        keep = ~behind
+        self.name, self.start, self.doc = name[keep], self.start[head[keep]], self.doc[head[keep]]
 
 
 class Parsed:
-    """What a batch asks about, from its texts alone."""
+    """A batch's words, and what they ask about given the answers so far."""
 
-    def __init__(self, texts: list[bytes], window: int):
-        self.window = window
+    def __init__(self, texts: list[bytes], window: int, own: int | None = None):
+        self.window, self.texts = window, texts
         self.joined = j = Joined(texts)
-        self.words = j.word_hashes()
-        self.slices = Slices(self.words)
-        doc = j.doc_of_word()
-        last = j.first[1:]
-        p = np.arange(len(self.words))
-        self.p = p = p[p + window <= last[doc]]  # where windows start
-        self.doc = doc
-        symbols = Symbols(self.words, doc)
-        symbols.runs()
-        for r in range(ANCHOR_ROUNDS):
-            symbols.pairs(r)
-        self.low_name, self.low_start = symbols.name, symbols.start
-        for r in range(ANCHOR_ROUNDS, PHRASE_ROUNDS):
-            symbols.pairs(r)
-        self._phrases(symbols, last)
-
-    def anchors(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors of the windows at ``p``, whether each stands inside them more than once, and each window's anchor number."""
-        if not len(p):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint8), p
-        n = len(self.words)
-        size = np.diff(np.append(self.low_start, n))
-        # longer symbols first: they are shared by chance less often
-        key = (15 - size).astype(np.uint64) << np.uint64(60) | mix(self.low_name, 61) >> np.uint64(4)
-        mark = np.zeros(n + 2, dtype=np.int64)
-        mark[self.low_start + 1] = 1
-        before = np.cumsum(mark)  # symbols that start before a word
-        smallest = range_min(key, before[p + REACH], before[p + self.window - REACH + 1] - 1)
-        new = np.append(True, smallest[1:] != smallest[:-1])
-        distinct, at, _ = first_of(smallest[new])
-        edge = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(edge, p + REACH, 1)
-        np.add.at(edge, p + self.window - REACH, -1)
-        key = key[(np.cumsum(edge[:-1]) > 0)[self.low_start]]
-        place = np.searchsorted(distinct, key).clip(0, len(distinct) - 1)
-        many = np.bincount(place[distinct[place] == key], minlength=len(distinct)) > 1
-        return mix(distinct, 64), many.astype(np.uint8), at[np.cumsum(new) - 1]  # mixed, as parts go by the upper bits
-
-    def _phrases(self, symbols: Symbols, last: np.ndarray) -> None:
-        n = len(self.words)
-        start, stop = symbols.start, last[symbols.doc]
-        after = np.minimum(np.append(start[1:], n), stop)
+        self.doc = j.doc_of_word()
+        self.n = len(self.doc)
+        self.stop = j.first[1:][self.doc]
+        self.own = self.n if own is None else int(np.searchsorted(j.word_start, own))
+        p = np.arange(self.own)
+        self.p = p[p + window <= self.stop[: self.own]]  # where windows begin
+
+    @cached_property
+    def words(self) -> Keys:
+        j, raw = self.joined, self.joined.data.tobytes()
+        _, first, at, count = np.unique(j.word_hashes(), return_index=True, return_inverse=True, return_counts=True)
+        prints = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(j.word_start[first].tolist(), j.word_end[first].tolist(), strict=True))
+        one, two = np.frombuffer(prints, "<u8").reshape(-1, 2).T
+        return at, mix(one, 59), [one, two, (count > 1).astype(np.uint8)]
+
+    def parse(self, row: dict, rounds: list[Told]) -> Symbols:
+        """The symbols after some rounds, the first of which names words."""
+        name = np.zeros(self.n, dtype=np.uint64)
+        if rounds:
+            at, place, _ = self.words
+            (said,) = rounds[0](row, place)
+            name = said[at]
+        self.name = name
+        symbols = Symbols(name, self.doc)
+        for k, told in enumerate(rounds[1:]):
+            _, place, _ = symbols.wanted(k)
+            symbols.named(told(row, place)[0])
+        return symbols
+
+    @cached_property
+    def slices(self) -> tuple[Slices, Slices, np.ndarray]:
+        """Two families of hashes of the words' names, and how many words before each stand once in the corpus."""
+        mixed = mix(self.name, 58)
+        return Slices(mixed), Slices(mixed, 1), np.concatenate([[0], np.cumsum(self.name == 0)])
+
+    def phrases(self, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, Keys]:
+        """Where windows begin that strings of symbols hold (from, until), and the strings' keys.
+
+        The string of a symbol goes on until it holds all windows that begin in the symbol or, before a
+        symbol without a name or a document's end, as far as it can.
+        """
+        start, n = symbols.start, self.n
         bounds = np.append(start, n)
+        barrier = np.append(start[symbols.name == 0], n)
+        stop = np.minimum(self.stop[start], barrier[np.searchsorted(barrier, start)]) if len(start) else start
+        after = np.minimum(bounds[1:], stop)
         end = np.minimum(bounds[np.searchsorted(bounds, after + self.window - 1).clip(0, len(bounds) - 1)], stop)
-        until = np.minimum(after, stop - self.window + 1)  # windows that start before it are inside the phrase
-        ok = until > start
-        self.phrase_from, self.phrase_until = start[ok], until[ok]
-        self.phrase_keys, self.phrase_at, count = first_of(self.slices.hash(start[ok], end[ok], 62))
-        self.phrase_many = (count > 1).astype(np.uint8)
-
-    def _mark(self, phrases: np.ndarray) -> np.ndarray:
-        edge = np.zeros(len(self.words) + 1, dtype=np.int64)
-        np.add.at(edge, self.phrase_from[phrases], 1)
-        np.add.at(edge, self.phrase_until[phrases], -1)
+        until = np.minimum(after, end - self.window + 1)
+        ok = (until > start) & (symbols.name > 0) & (start < self.own)
+        mixed, first, last = mix(symbols.name, 57), np.flatnonzero(ok), np.searchsorted(bounds, end[ok])
+        one, two = Slices(mixed).hash(first, last, 62), Slices(mixed, 1).hash(first, last, 63) >> np.uint64(32)
+        return start[ok], until[ok], _keys(one, two)
+
+    def _mark(self, start: np.ndarray, until: np.ndarray) -> np.ndarray:
+        edge = np.zeros(self.n + 1, dtype=np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, until, -1)
         return np.cumsum(edge[:-1]) > 0
 
-    def known(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Windows known as repeats, and where those start that others can be verified against.
+    def known(self, row: dict, symbols: Symbols, phrases: Told) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows known as repeats, where windows begin that others may be verified against, and which of these are open themselves.
 
-        One occurrence of each shared phrase stands for the rest of them there.
+        One occurrence of each string that stands twice stands for the rest of them there.
         """
-        (bits,) = told([self.phrase_keys], row, "phrases")
-        if not len(self.phrase_at):
-            return np.zeros(len(self.words), dtype=bool), self.p
-        shared = (bits & 1 == 1)[self.phrase_at]
-        _, first = np.unique(self.phrase_at, return_index=True)
-        owner = np.zeros(len(self.phrase_at), dtype=bool)
-        owner[first] = bits & 2 == 2
-        return self._mark(shared), self.p[~self._mark(shared & ~owner)[self.p]]
-
-    def candidates(self, row: dict):
-        """(repeats so far, windows to verify, the number of each one's hash, distinct hashes, whether each occurs here twice)."""
-        hit, p = self.known(row)
-        keys, _, at = self.anchors(p)
-        (bits,) = told([keys], row, "anchors")
-        maybe = p[(bits & 1 == 1)[at]] if len(p) else p
-        keys, at, count = first_of(self.slices.hash(maybe, maybe + self.window, 63))
-        return hit, maybe, at, keys, (count > 1).astype(np.uint8)
-
-
-def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_removed, text``: words covered by a window that starts anywhere else too are gone."""
-    if window < 4 * REACH:
-        raise ValueError(f"windows have {4 * REACH} words at least")
-    batches = pack(docs, id_col, text_col, apart=True)
+        start, until, (at, place, _) = self.phrases(symbols)
+        (bits,) = phrases(row, place)
+        shared = (bits & 1 == 1)[at]
+        owner = np.zeros(len(at), dtype=bool)
+        owner[np.unique(at, return_index=True)[1]] = bits & 2 == 2
+        hit, mine = self._mark(start[shared], until[shared]), self._mark(start[shared & owner], until[shared & owner])
+        once = self.slices[2]
+        p = self.p[(~hit | mine)[self.p]]
+        p = p[once[p + self.window] == once[p]]  # a window with a word that stands once is no repeat
+        return hit, p, ~hit[p]
+
+    def anchors(self, p: np.ndarray, is_open: np.ndarray) -> Keys:
+        """The anchors of the windows at ``p``, whether each stands at two places here, and whether an open window has it."""
+        if not len(p):
+            return p, np.zeros(0, np.uint64), [np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)]
+        x = np.arange(self.n - GRAM + 1)
+        gram = self.slices[0].hash(x, x + GRAM, 64)
+        width = self.window - GRAM + 1
+        low = sliding_min(gram, width)[p]
+        new = np.append(True, (low[1:] != low[:-1]) | (np.diff(p) >= width))  # windows far apart have no q-gram in common
+        keys, at = np.unique(mix(low[new], 65) >> np.uint64(16), return_inverse=True)
+        # occurrences of the anchors inside these windows, not groups of windows, for a periodic text has several in one window
+        place = mix(gram, 65) >> np.uint64(16)
+        where = np.searchsorted(keys, place).clip(0, len(keys) - 1)
+        edge = np.zeros(len(gram) + 1, dtype=np.int64)
+        np.add.at(edge, p, 1)
+        np.add.at(edge, p + width, -1)
+        inside = (np.cumsum(edge[:-1]) > 0) & (keys[where] == place)
+        many = np.bincount(where[inside], minlength=len(keys)) > 1
+        at = at[np.cumsum(new) - 1]
+        wanted = np.zeros(len(keys), dtype=np.uint8)
+        np.maximum.at(wanted, at, is_open.astype(np.uint8))
+        return at, keys << np.uint64(16), [keys, many.astype(np.uint8), wanted]
+
+    def windows(self, row: dict, symbols: Symbols, phrases: Told, grams: Told) -> tuple[np.ndarray, np.ndarray, Keys]:
+        """Repeats so far, the windows to verify, and their keys."""
+        hit, p, is_open = self.known(row, symbols, phrases)
+        at, place, _ = self.anchors(p, is_open)
+        (bits,) = grams(row, place)
+        p = p[(bits == 1)[at]] if len(p) else p
+        one, two, _ = self.slices
+        return hit, p, _keys(one.hash(p, p + self.window, 66), two.hash(p, p + self.window, 67) >> np.uint64(32))
+
+
+def _wanted_elsewhere(got: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """1 where an anchor stands at two places and some open window has it."""
+    marks = mark_shared([[keys, many] for keys, many, _ in got], 1)
+    keys = np.concatenate([g[0] for g in got])
+    _, at, _ = distinct(keys)
+    wanted = np.zeros(int(at.max(initial=-1)) + 1, dtype=np.uint8)
+    np.maximum.at(wanted, at, np.concatenate([g[2] for g in got]))
+    cuts = np.cumsum([len(g[0]) for g in got])[:-1]
+    return [m & w & 1 for m, w in zip(marks, np.split(wanted[at], cuts), strict=True)]
+
+
+def _cutter(window: int):
+    def cut(text: bytes, limit: int) -> list[tuple[int, int, int]]:
+        """Pieces end before a word; the overlap is the words of a window but one."""
+        out, a = [], 0
+        while a < len(text):
+            space = _SPACE.search(text, a + limit)
+            word = _WORD.search(text, space.end()) if space else None
+            b = word.start() if word else len(text)
+            last = b
+            for m in islice(_WORD.finditer(text, b), window - 1):
+                last = m.end()
+            out.append((a, b, last))
+            a = b
+        return out
+
+    return cut
+
+
+def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, limit: int | None = None) -> DataFrame:
+    """``doc_id, n_words, n_removed, text``: words covered by a window that starts anywhere else too are gone.
+
+    The result reads files in the shared folder; they go with ``shared.workspace`` or ``shared.release``.
+    ``limit`` is the bytes of a batch, by the input's size if not given.
+    """
+    if window < GRAM + 2:
+        raise ValueError(f"windows have {GRAM + 2} words at least")
+    packed = pack(docs, id_col, text_col, limit, apart=True, cut=_cutter(window))
+    rounds: list[Told] = []
+
+    def parse(texts, row):
+        x = Parsed(texts, window, row["own"] if row["piece"] >= 0 else None)
+        return x, x.parse(row, rounds)
+
+    def ask_words(ids, texts, row):
+        _, place, columns = Parsed(texts, window).words
+        return [(place, columns)]
+
+    told = packed.route(ask_words, lambda part, _, got: name_shared(part, got, 2), [["<u8", "<u8", "u1"]], ["u6"], 0.4, "words")
+    rounds.append(told)
+
+    for k in range(ROUNDS):
+
+        def ask_symbols(ids, texts, row, k=k, rounds=tuple(rounds)):
+            _, place, columns = Parsed(texts, window).parse(row, list(rounds)).wanted(k)
+            return [(place, columns)]
+
+        kinds = ["u6", "<u4", "u6", "<u4", "u1"]
+        told = packed.route(ask_symbols, lambda part, _, got: name_shared(part, got, 4), [kinds], ["u6"], 0.6 * 0.75**k, f"round{k}")
+        rounds.append(told)
 
     def ask_phrases(ids, texts, row):
-        x = Parsed(texts, window)
-        return [(x.phrase_keys, [x.phrase_keys, x.phrase_many])]
+        x, symbols = parse(texts, row)
+        _, place, columns = x.phrases(symbols)[2]
+        return [(place, columns)]
+
+    phrases = packed.route(ask_phrases, lambda part, _, got: mark_shared(got, 2), [["<u8", "<u4", "u1"]], ["u1"], 0.4, "phrases")
 
     def ask_anchors(ids, texts, row):
-        x = Parsed(texts, window)
-        keys, many, _ = x.anchors(x.known(row)[1])
-        return [(keys, [keys, many])]
+        x, symbols = parse(texts, row)
+        _, place, columns = x.anchors(*x.known(row, symbols, phrases)[1:])
+        return [(place, columns)]
+
+    grams = packed.route(ask_anchors, lambda part, _, got: _wanted_elsewhere(got), [["u6", "u1", "u1"]], ["u1"], 0.1, "grams")
 
     def ask_windows(ids, texts, row):
-        _, _, _, keys, many = Parsed(texts, window).candidates(row)
-        return [(keys, [keys, many])]
+        x, symbols = parse(texts, row)
+        _, place, columns = x.windows(row, symbols, phrases, grams)[2]
+        return [(place, columns)]
+
+    last = packed.route(ask_windows, lambda part, _, got: mark_shared(got, 2), [["<u8", "<u4", "u1"]], ["u1"], 0.3, "windows")
+
+    def gone(texts: list[bytes], row: dict) -> tuple[Parsed, np.ndarray]:
+        """Which words some repeated window covers."""
+        x, symbols = parse(texts, row)
+        hit, p, (at, place, _) = x.windows(row, symbols, phrases, grams)
+        (bits,) = last(row, place)
+        hit[p[(bits & 1 == 1)[at]]] = True
+        inside = np.zeros(x.n, dtype=bool)
+        inside[x.p] = True
+        p = np.flatnonzero(hit & inside)
+        edge = np.zeros(x.n + 1, dtype=np.int64)
+        edge[p] += 1
+        edge[p + window] -= 1
+        return x, np.cumsum(edge[:-1]) > 0
+
+    names = ["doc_id", "n_words", "n_removed", "text"]
 
-    def shared(got):
-        return [[x] for x in shared_keys([g[0] for g in got])]
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, row in batch_rows(it):
+            x, mask = gone(texts, row)
+            rows = [_kept(text.split(), mask[x.joined.first[d] : x.joined.first[d + 1]]) for d, text in enumerate(texts)]
+            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.binary()).cast(pa.string())], names=names)
+
+    def finish_piece(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, row in batch_rows(it):
+            x, mask = gone(texts, row)
+            columns = [pa.array([row["row"]], pa.int64()), pa.array([row["piece"]], pa.int32()), pa.array(ids, pa.int64()), pa.array([texts[0][: row["own"]]], pa.binary()), pa.array([mask.astype(np.uint8).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "piece", "doc_id", "data", "mask"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("piece")
+        words, masks = [], []
+        for own, mask in zip(table.column("data").to_pylist(), table.column("mask").to_pylist(), strict=True):
+            masks.append((len(words), np.frombuffer(mask, np.uint8).astype(bool)))
+            words += own.split()
+        some = np.zeros(len(words) + window, dtype=bool)
+        for at, mask in masks:
+            some[at : at + len(mask)] |= mask
+        *counts, kept = _kept(words, some[: len(words)])
+        return pa.table([table.column("doc_id")[:1], *(pa.array([c], pa.int64()) for c in counts), pa.array([kept], pa.binary()).cast(pa.string())], names=names)
+
+    schema = "doc_id long, n_words long, n_removed long, text string"
+    ready = packed.answered()
+    out = ready.where("piece < 0").mapInArrow(finish, schema)
+    if packed.n_pieces:
+        pieces = ready.where("piece >= 0").mapInArrow(finish_piece, "row long, piece int, doc_id long, data binary, mask binary")
+        out = out.unionByName(pieces.groupBy("row").applyInArrow(whole, schema))
+    return out
 
-    phrases = route(batches, ask_phrases, shared, [["<u8", "u1"]], 0.2, "phrases")
-    anchors = route(with_answers(batches, phrases), ask_anchors, shared, [["<u8", "u1"]], 0.2, "anchors")
-    windows = route(with_answers(batches, phrases, anchors), ask_windows, shared, [["<u8", "u1"]], 0.3, "windows")
 
-    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, texts, row in batch_rows(it):
-            parsed = Parsed(texts, window)
-            hit, maybe, at, keys, _ = parsed.candidates(row)
-            (bits,) = told([keys], row, "windows")
-            if len(maybe):
-                hit[maybe[(bits & 1 == 1)[at]]] = True
-            p = np.flatnonzero(hit)
-            edge = np.zeros(len(hit) + 1, dtype=np.int64)
-            np.add.at(edge, p, 1)
-            np.add.at(edge, p + window, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            n_gone = np.add.reduceat(np.append(gone, False).astype(np.int64), parsed.joined.first[:-1]) if len(ids) else np.zeros(0, np.int64)
-            n_gone[parsed.joined.n_words == 0] = 0
-            kept = []
-            for d, text in enumerate(texts):
-                words = text.split()
-                if n_gone[d]:
-                    words = compress(words, (~gone[parsed.joined.first[d] : parsed.joined.first[d + 1]]).tolist())
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parsed.joined.n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
-
-    return with_answers(batches, phrases, anchors, windows).mapInArrow(finish, "doc_id long, n_words long, n_removed long, text string")
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _kept(words: list[bytes], gone: np.ndarray) -> tuple[int, int, bytes]:
+    """Words, removed ones, and what is left."""
+    n = int(gone.sum())
+    return len(words), n, b" ".join(compress(words, (~gone).tolist()) if n else words)

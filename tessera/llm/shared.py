@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,17 +57,56 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return _folders[-1]
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder or file, for Python workers; Spark's ``s3a`` and ``s3n`` are S3 here."""
+    scheme, colon, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else uri)
+
+
+def has_store(spark: SparkSession) -> bool:
+    """Whether Python workers can reach the shared folder; where they cannot, what would be files travels in rows."""
+    try:
+        open_store(shared_dir(spark))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def drop_folder(folder: str) -> None:
+    """Remove a folder of ``fresh_dir``, if it is there."""
+    if folder in _folders:
+        _folders.remove(folder)
+    store, path = open_store(folder)
+    if store.get_file_info(path).type == pafs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def release() -> None:
     """Remove the files that operators of this process wrote beside their results; what has not been computed yet cannot be any more."""
     while _folders:
-        store, path = pafs.FileSystem.from_uri(_folders.pop())
-        if store.get_file_info(path).type == pafs.FileType.Directory:
-            store.delete_dir(path)
+        drop_folder(_folders[-1])
 
 
 atexit.register(release)
 
 
+@contextmanager
+def workspace() -> Iterator[None]:
+    """Removes, at its end, the files that operators wrote beside their results inside it; results kept longer must be durable by then."""
+    before = len(_folders)
+    try:
+        yield
+    finally:
+        for folder in _folders[before:][::-1]:
+            drop_folder(folder)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of rounds whose results are durable; it acts when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def parts_for(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:
     """How many parts hold ``n_bytes`` with at most about ``part_bytes`` each; a few for each core at least."""
     return max(4 * spark.sparkContext.defaultParallelism, -(-int(n_bytes) // part_bytes), 16)
@@ -89,10 +131,15 @@ def trim() -> None:
         pass
 
 
+def column(docs: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots and other odd characters included."""
+    return docs["`" + name.replace("`", "``") + "`"]
+
+
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id (as long) and the text (null: empty), whatever other columns there are."""
     size_batches(docs.sparkSession)
     return docs.select(
-        docs[id_col].cast("long").alias("doc_id"),
-        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        column(docs, id_col).cast("long").alias("doc_id"),
+        F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"),
     )

@@ -1,42 +1,50 @@
-"""Suffix-array dedup of byte strings by bucket-pointer refinement.
+"""Suffix-array dedup of byte strings by bucket-pointer refinement in Spark rounds.
 
-Suffixes at candidate positions start in buckets of equal 8-grams; buckets are refined by sorting
-their members on the bucket pointers of later offsets, each round reusing the pointers that the last
-one refined, so the depth doubles until equal ``DEPTH``-byte strings share a bucket.  Buckets of one
-string in different batches meet by its hash.
+Suffixes stand in buckets of equal first bytes, and a round refines all buckets of the corpus at once:
+each suffix asks the part that owns the pair (its bucket, the bucket of a later offset) for the bucket
+of twice the depth, and parts sort the pairs and number them.  What is alone in its bucket is not sorted
+again.  Bucket numbers, not strings, are compared between documents.
 
-Candidates come first, for not every suffix of a corpus can be sorted: phrases between
-content-defined cuts that occur in a smaller document settle the inside of long matches, and each
-string left is a candidate only if its smallest q-gram (by hash) picks a string left in another
-document too.  The smallest document with a string is never settled by a phrase that has the string,
-so it is always among those left.
+Not every suffix of a corpus can be sorted, so this happens twice.  First the sparse suffixes that begin
+at content-defined cuts are refined, the segments between cuts being the initial buckets, and then
+pointers to 1 and 2 segments on; a string of segments that a smaller document has too settles all
+strings inside it.  Then, of the strings still open, those whose smallest q-gram (by hash) is that of an
+open string of another document are refined byte by byte: buckets of equal half strings, then pairs of
+the buckets of both halves.  The smallest document with a string is never settled by segments that have
+the string, so it is always among those left.
+
+Initial buckets are told apart by 96 and 128 bits of independent hashes of their bytes, all later ones
+by bucket numbers.
 
 Cases: a null or empty text has no bytes; a text shorter than ``DEPTH`` keeps all; matches never
 cross documents, and repeats inside one document do not count; rows with the same id are one
-document, so neither loses to the other; a null id sorts last.
+document, so neither loses to the other; a null id sorts last; equal rows have equal results; an empty
+table gives none; columns besides the id and the text are not looked at; a text longer than a batch is
+worked on in overlapping pieces, so that only its finished row is ever held whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from tessera.llm.exchange import batch_rows, id_array, pack, route, shared_keys, smaller_elsewhere, told, with_answers
+from tessera.llm.exchange import Told, batch_rows, distinct, id_array, joined, lowest, mark_shared, name_shared, names_of, pack
 from tessera.llm.hashing import Slices, mix
 
 DEPTH = 50
-#: Bytes of the q-grams that pick candidates; shorter ones are shared by chance more often, longer ones are more.
+#: Bytes of the q-grams that cuts and candidates are chosen by; shorter ones are shared by chance more often, longer ones are more.
 GRAM = 24
-#: Mean bytes between cuts.
-CUT = 96
+#: A cut's q-gram is the smallest among so many before and after it, so segments between cuts are longer than this.
+REACH = 25
 
 
 def refine(symbols: np.ndarray, at: np.ndarray, depth: int, gram: int = 8) -> np.ndarray:
-    """Bucket numbers of the suffixes at ``at``, equal where their first ``depth`` symbols are.
+    """Bucket numbers of the suffixes at ``at`` of one sequence in memory, equal where their first ``depth`` symbols are.
 
     ``symbols`` are below 256 where ``gram`` is 8, else any non-negative integers with ``gram`` 1.
     Suffixes must have ``depth`` symbols.
@@ -83,137 +91,273 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(level[: len(values) - width + 1], level[width - have :][: len(values) - width + 1])
 
 
-def _lowest(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their smallest documents, and each key's number."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    low = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(low, at, who)
-    return distinct, low, at
+#: Keys of a batch: who asks, the number of each one's key, what deals the keys, and the columns that travel.
+Keys = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
 
 
 class Parsed:
-    """What a batch asks about, from its texts alone."""
+    """A batch's bytes, and what they ask about given the answers so far."""
 
-    def __init__(self, ids: list, texts: list[bytes], depth: int):
-        self.depth = depth
+    def __init__(self, ids: list, texts: list[bytes], depth: int, own: int | None = None):
+        self.depth, self.half = depth, -(-depth // 2)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
         self.who = id_array(ids)
-        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        n = len(self.data)
-        self.slices = Slices(self.data)
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        stop = self.begin[1:]
-        room = stop[self.doc] - np.arange(n)
-        self.p = np.flatnonzero(room >= depth)
-        x = np.arange(max(0, n - GRAM + 1))
-        self.gram = self.slices.hash(x, x + GRAM, 81) if len(x) else np.zeros(0, np.uint64)
-        cut = np.zeros(n, dtype=bool)
-        cut[: len(x)] = (self.gram % np.uint64(CUT) == 0) & (room[: len(x)] >= GRAM)
-        cut[self.begin[:-1][sizes > 0]] = True
-        self._phrases(np.flatnonzero(cut), stop)
-
-    def _phrases(self, cuts: np.ndarray, stop: np.ndarray) -> None:
-        n = len(self.data)
-        ends = stop[self.doc[cuts]] if len(cuts) else cuts
-        after = np.minimum(np.append(cuts[1:], n), ends) if len(cuts) else cuts
-        bounds = np.append(cuts, n)
-        end = np.minimum(bounds[np.searchsorted(bounds, after + self.depth - 1).clip(0, len(bounds) - 1)], ends)
-        until = np.minimum(after, ends - self.depth + 1)
-        ok = until > cuts
-        self.phrase_from, self.phrase_until = cuts[ok], until[ok]
-        self.phrase_keys, self.phrase_low, self.phrase_at = _lowest(self.slices.hash(cuts[ok], end[ok], 83), self.who[self.doc[cuts[ok]]] if len(cuts) else cuts)
-
-    def known(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Strings known to start in a smaller document, and where the others start."""
-        (phrases,) = told([self.phrase_keys], row, "phrases")
-        edge = np.zeros(len(self.data) + 1, dtype=np.int64)
-        if len(self.phrase_at):
-            who = self.who[self.doc[self.phrase_from]]
-            dup = (phrases[self.phrase_at] & 1 == 1) | (self.phrase_low[self.phrase_at] < who)
-            np.add.at(edge, self.phrase_from[dup], 1)
-            np.add.at(edge, self.phrase_until[dup], -1)
-        hit = np.cumsum(edge[:-1]) > 0
-        return hit, self.p[~hit[self.p]]
-
-    def anchors(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors of the strings at ``p``, whether two documents here hold each, and each string's anchor number."""
+        self.raw = b"".join(texts)
+        self.data = np.frombuffer(self.raw, dtype=np.uint8)
+        self.own = len(self.data) if own is None else own
+        self.open = np.flatnonzero(sizes >= depth)
+
+    @cached_property
+    def slices(self) -> Slices:
+        return Slices(self.data)
+
+    @cached_property
+    def gram(self) -> np.ndarray:
+        """The hash of each q-gram; the largest number where it would cross a document's end."""
+        out = np.full(len(self.data) + 1, np.uint64(2**64 - 1))
+        x = np.arange(max(0, len(self.data) - GRAM + 1))
+        out[: len(x)] = self.slices.hash(x, x + GRAM, 81)
+        for k in range(1, GRAM):
+            out[np.maximum(self.begin[1:] - k, 0)] = np.uint64(2**64 - 1)
+        return out
+
+    @cached_property
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and documents of the segments between cuts; a document's begin is a cut."""
+        pad = np.full(REACH, np.uint64(2**64 - 1))
+        gram = self.gram[: len(self.data)]
+        around = sliding_min(np.concatenate([pad, gram, pad]), REACH) if len(gram) else gram
+        before, after = around[: len(gram)], around[REACH + 1 :][: len(gram)]
+        cut = (gram < before) & (gram <= after)
+        cut[self.begin[self.open]] = True
+        start = np.flatnonzero(cut)
+        doc = np.searchsorted(self.begin, start, side="right") - 1
+        stop = self.begin[doc + 1]
+        end = np.minimum(np.append(start[1:], len(self.data)), stop)
+        ok = stop - self.begin[doc] >= self.depth
+        return start[ok], end[ok], doc[ok]
+
+    @cached_property
+    def n_levels(self) -> int:
+        """Rounds over segments until a string of segments holds any string of ``depth`` that stands inside a few."""
+        most = -(-(self.depth - 1) // (REACH + 1)) + 1
+        return (most - 1).bit_length() + 1
+
+    def _keys(self, asking: np.ndarray, one: np.ndarray, two: np.ndarray, who: np.ndarray) -> Keys:
+        """Distinct pairs, with the smallest document of each and whether there are several here."""
+        first, at, _ = distinct(one, two)
+        low = lowest(at, who, len(first))
+        high = -1 - lowest(at, -1 - who, len(first))
+        one, two = one[first], two[first]
+        return asking, at, mix(one ^ mix(two, 85), 86), [one, two, low, (low != high).astype(np.uint8)]
+
+    def level(self, k: int, name: np.ndarray) -> Keys:
+        """What segments ask in round ``k``: at first for their bytes, then for their bucket and that of ``2**(k-1)`` segments on."""
+        start, end, doc = self.segments
+        if k == 0:
+            prints = b"".join(xxhash.xxh3_128_digest(self.raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True))
+            one, two = np.frombuffer(prints, "<u8").reshape(-1, 2).T
+            return self._keys(np.arange(len(start)), one, two, self.who[doc])
+        step = 1 << (k - 1)
+        i = np.arange(max(0, len(start) - step))
+        i = i[(name[i] > 0) & (name[i + step] > 0) & (doc[i] == doc[i + step])]
+        return self._keys(i, name[i], name[i + step], self.who[doc[i]])
+
+    def refined(self, row: dict, rounds: list[Told]) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the segments after some rounds, and which strings a smaller document is known to have."""
+        start, end, doc = self.segments
+        name, edge = np.zeros(len(start), np.uint64), np.zeros(len(self.data) + 1, dtype=np.int64)
+        for k, told in enumerate(rounds):
+            i, at, place, columns = self.level(k, name)
+            (said,) = told(row, place)
+            name = np.zeros(len(start), np.uint64)
+            name[i] = (said >> np.uint64(1))[at]
+            dup = ((said & np.uint64(1)) == 1)[at] | (columns[2][at] < self.who[doc[i]])
+            until = end[i + (1 << k) - 1] - self.depth + 1  # strings that begin there no longer end in these segments
+            ok = dup & (until > start[i])
+            edge[start[i[ok]]] += 1
+            np.add.at(edge, until[ok], -1)
+        return name, np.cumsum(edge[:-1]) > 0
+
+    def starts(self, hit: np.ndarray) -> np.ndarray:
+        """Where strings begin that are open yet."""
+        mark = np.zeros(len(self.data) + 1, dtype=np.int64)
+        mark[self.begin[self.open]] += 1
+        mark[self.begin[self.open + 1] - self.depth + 1] -= 1
+        inside = np.cumsum(mark[:-1]) > 0
+        inside[self.own :] = False
+        return np.flatnonzero(inside & ~hit)
+
+    def anchors(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Each string's anchor number, what deals the anchors, and the columns that travel."""
         if not len(p):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint8), p
-        low = sliding_min(self.gram, self.depth - GRAM + 1)[p]
-        doc = self.doc[p]
+            return p, np.zeros(0, np.uint64), [np.zeros(0, np.uint64), np.zeros(0, np.uint8)]
+        low = sliding_min(self.gram[: len(self.data)], self.depth - GRAM + 1)[p]
+        doc = np.searchsorted(self.begin, p, side="right") - 1
         new = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))
         # the smallest hashes crowd at the low end; mixed again they spread over the parts
-        distinct, first, at = np.unique(mix(low[new], 82) & ~np.uint64(0xFFFF), return_index=True, return_inverse=True)
-        who = doc[new]
-        many = np.zeros(len(distinct), dtype=bool)
+        keys, first, at = np.unique(mix(low[new], 82) >> np.uint64(16), return_index=True, return_inverse=True)
+        who = self.who[doc[new]]
+        many = np.zeros(len(keys), dtype=bool)
         np.logical_or.at(many, at, who != who[first][at])
-        return distinct, many.astype(np.uint8), at[np.cumsum(new) - 1]
-
-    def candidates(self, row: dict):
-        """(hits so far, candidates, the bucket of each, the buckets' hashes and smallest documents)."""
-        hit, p = self.known(row)
-        keys, _, at = self.anchors(p)
-        (bits,) = told([keys], row, "grams")
-        maybe = p[(bits & 1 == 1)[at]] if len(p) else p
-        if not len(maybe):
-            return hit, maybe, maybe, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        _, first, bucket = np.unique(refine(self.data, maybe, self.depth), return_index=True, return_inverse=True)
-        low = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(low, bucket, self.who[self.doc[maybe]])
-        return hit, maybe, bucket, self.slices.hash(maybe[first], maybe[first] + self.depth, 84), low
-
-
-def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, data``: bytes covered by a ``depth``-byte string that a smaller document has too are gone."""
+        return at[np.cumsum(new) - 1], keys << np.uint64(16), [keys, many.astype(np.uint8)]
+
+    def candidates(self, row: dict, rounds: list[Told], grams: Told) -> tuple[np.ndarray, np.ndarray]:
+        """Strings known to be in a smaller document, and where those begin that another document may have."""
+        _, hit = self.refined(row, rounds)
+        p = self.starts(hit)
+        at, place, _ = self.anchors(p)
+        (bits,) = grams(row, place)
+        return hit, p[(bits & 1 == 1)[at]] if len(p) else p
+
+    def halves(self, p: np.ndarray) -> Keys:
+        """The initial buckets of the strings at ``p``: equal first and equal last halves."""
+        need = np.zeros(len(self.data) + 1, dtype=bool)
+        need[p] = True
+        need[p + self.depth - self.half] = True
+        x = np.flatnonzero(need)
+        other = Slices(self.data, 1)
+        one, two = self.slices.hash(x, x + self.half, 83), other.hash(x, x + self.half, 84) >> np.uint64(32)
+        i, at, place, columns = self._keys(x, one, two, self.who[np.searchsorted(self.begin, x, side="right") - 1])
+        return i, at, place, [*columns[:2], columns[3]]
+
+    def strings(self, row: dict, p: np.ndarray, halves: Told) -> Keys:
+        """The buckets of the strings at ``p``: pairs of the buckets of both halves, where neither is alone."""
+        x, at, place, _ = self.halves(p)
+        (said,) = halves(row, place)
+        name = np.zeros(len(self.data) + 1, dtype=np.uint64)
+        name[x] = said[at]
+        one, two = name[p], name[p + self.depth - self.half]
+        ok = (one > 0) & (two > 0)
+        p = p[ok]
+        return self._keys(p, one[ok], two[ok], self.who[np.searchsorted(self.begin, p, side="right") - 1])
+
+
+def _refine(part: int, got: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The bucket of each pair that several documents have, and a bit: a smaller document than the batch's has it."""
+    (one, two, low, many), cuts = joined(got)
+    _, at, count = distinct(one, two)
+    shared = count > 1
+    np.logical_or.at(shared, at, many > 0)
+    name = np.where(shared, names_of(part, np.arange(len(count))), np.uint64(0))
+    smaller = lowest(at, low, len(count))[at] < low
+    return np.split(name[at] << np.uint64(1) | smaller.astype(np.uint64), cuts)
+
+
+def _smaller(got: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """1 where a smaller document than the batch's has the pair."""
+    (one, two, low), cuts = joined(got)
+    _, at, count = distinct(one, two)
+    return np.split((lowest(at, low, len(count))[at] < low).astype(np.uint8), cuts)
+
+
+def _cutter(depth: int):
+    def cut(text: bytes, limit: int) -> list[tuple[int, int, int]]:
+        return [(a, min(a + limit, len(text)), min(a + limit + depth - 1, len(text))) for a in range(0, len(text), limit)]
+
+    return cut
+
+
+def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, limit: int | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, data``: bytes covered by a ``depth``-byte string that a smaller document has too are gone.
+
+    The result reads files in the shared folder; they go with ``shared.workspace`` or ``shared.release``.
+    ``limit`` is the bytes of a batch, by the input's size if not given.
+    """
     if depth < GRAM + 8:
         raise ValueError(f"strings have {GRAM + 8} bytes at least")
-    batches = pack(docs, id_col, text_col, apart=True)
+    packed = pack(docs, id_col, text_col, limit, apart=True, cut=_cutter(depth))
+    parse = lambda ids, texts, row: Parsed(ids, texts, depth, row["own"])
+    rounds: list[Told] = []
 
-    def ask_phrases(ids, texts, row):
-        x = Parsed(ids, texts, depth)
-        return [(x.phrase_keys, [x.phrase_keys, x.phrase_low])]
+    for k in range(Parsed([], [], depth).n_levels):
 
-    def ask_grams(ids, texts, row):
-        x = Parsed(ids, texts, depth)
-        keys, many, _ = x.anchors(x.known(row)[1])
-        return [(keys, [keys, many])]
+        def ask_segments(ids, texts, row, k=k, rounds=tuple(rounds)):
+            x = parse(ids, texts, row)
+            _, _, place, columns = x.level(k, x.refined(row, list(rounds))[0])
+            return [(place, columns)]
 
-    def ask_strings(ids, texts, row):
-        _, _, _, keys, low = Parsed(ids, texts, depth).candidates(row)
-        return [(keys, [keys, low])]
+        kinds = ["<u8", "<u8"] if k == 0 else ["u6", "u6"]
+        told = packed.route(ask_segments, lambda part, _, got: _refine(part, got), [[*kinds, "<i8", "u1"]], ["u6"], 0.5, f"level{k}")
+        rounds.append(told)
 
-    def smaller(got):
-        return [[x] for x in smaller_elsewhere([g[0] for g in got])]
+    def ask_grams(ids, texts, row):
+        x = parse(ids, texts, row)
+        _, place, columns = x.anchors(x.starts(x.refined(row, rounds)[1]))
+        return [(place, columns)]
 
-    phrases = route(batches, ask_phrases, smaller, [["<u8", "<i8"]], 0.2, "phrases")
-    grams = route(with_answers(batches, phrases), ask_grams, lambda got: [[x] for x in shared_keys([g[0] for g in got])], [["u6", "u1"]], 0.5, "grams")
-    strings = route(with_answers(batches, phrases, grams), ask_strings, smaller, [["<u8", "<i8"]], 0.5, "strings")
+    grams = packed.route(ask_grams, lambda part, _, got: mark_shared(got, 1), [["u6", "u1"]], ["u1"], 0.5, "grams")
 
-    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, texts, row in batch_rows(it):
-            parsed = Parsed(ids, texts, depth)
-            hit, maybe, bucket, keys, low = parsed.candidates(row)
-            (bits,) = told([keys], row, "strings")
-            if len(maybe):
-                dup = (bits[bucket] & 1 == 1) | (low[bucket] < parsed.who[parsed.doc[maybe]])
-                hit[maybe[dup]] = True
-            p = np.flatnonzero(hit)
-            edge = np.zeros(len(hit) + 1, dtype=np.int64)
-            np.add.at(edge, p, 1)
-            np.add.at(edge, p + depth, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            rows = []
-            for d, text in enumerate(texts):
-                own = gone[parsed.begin[d] : parsed.begin[d + 1]]
-                n = int(own.sum())
-                spans = int((np.diff(np.append(False, own).astype(np.int8)) == 1).sum()) if n else 0
-                rows.append((len(text), n, spans, parsed.data[parsed.begin[d] : parsed.begin[d + 1]][~own].tobytes() if n else text))
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "data"])
+    def ask_halves(ids, texts, row):
+        x = parse(ids, texts, row)
+        _, _, place, columns = x.halves(x.candidates(row, rounds, grams)[1])
+        return [(place, columns)]
 
-    return with_answers(batches, phrases, grams, strings).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, data binary")
+    halves = packed.route(ask_halves, lambda part, _, got: name_shared(part, got, 2), [["<u8", "<u4", "u1"]], ["u6"], 0.8, "halves")
 
+    def ask_strings(ids, texts, row):
+        x = parse(ids, texts, row)
+        _, _, place, columns = x.strings(row, x.candidates(row, rounds, grams)[1], halves)
+        return [(place, columns[:3])]
+
+    strings = packed.route(ask_strings, lambda part, _, got: _smaller(got), [["u6", "u6", "<i8"]], ["u1"], 0.8, "strings")
+
+    def gone(ids: list, texts: list[bytes], row: dict) -> tuple[Parsed, np.ndarray]:
+        """Which bytes some removed string covers."""
+        x = parse(ids, texts, row)
+        hit, p = x.candidates(row, rounds, grams)
+        p, at, place, columns = x.strings(row, p, halves)
+        (bits,) = strings(row, place)
+        if len(p):
+            doc = np.searchsorted(x.begin, p, side="right") - 1
+            hit[p[(bits[at] == 1) | (columns[2][at] < x.who[doc])]] = True
+        hit[x.own :] = False
+        p = np.flatnonzero(hit)
+        edge = np.zeros(len(hit) + 1, dtype=np.int64)
+        edge[p] += 1
+        edge[p + depth] -= 1
+        return x, np.cumsum(edge[:-1]) > 0
+
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "data"]
 
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, row in batch_rows(it):
+            x, mask = gone(ids, texts, row)
+            rows = [_kept(text, mask[x.begin[d] : x.begin[d + 1]]) for d, text in enumerate(texts)]
+            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=names)
+
+    def finish_piece(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, row in batch_rows(it):
+            x, mask = gone(ids, texts, row)
+            columns = [pa.array([row["row"]], pa.int64()), pa.array([row["piece"]], pa.int32()), pa.array(ids, pa.int64()), pa.array([x.raw[: x.own]], pa.binary()), pa.array([np.packbits(mask).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "piece", "doc_id", "data", "mask"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("piece")
+        data = table.column("data").to_pylist()
+        mask, at = np.zeros(sum(map(len, data)) + depth, dtype=bool), 0
+        for own, bits in zip(data, table.column("mask").to_pylist(), strict=True):
+            some = np.unpackbits(np.frombuffer(bits, np.uint8), count=min(len(own) + depth - 1, 8 * len(bits))).astype(bool)
+            mask[at : at + len(some)] |= some[: len(mask) - at]
+            at += len(own)
+        *counts, kept = _kept(b"".join(data), mask[:at])
+        return pa.table([table.column("doc_id")[:1], *(pa.array([c], pa.int64()) for c in counts), pa.array([kept], pa.binary())], names=names)
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, data binary"
+    ready = packed.answered()
+    out = ready.where("piece < 0").mapInArrow(finish, schema)
+    if packed.n_pieces:
+        pieces = ready.where("piece >= 0").mapInArrow(finish_piece, "row long, piece int, doc_id long, data binary, mask binary")
+        out = out.unionByName(pieces.groupBy("row").applyInArrow(whole, schema))
+    return out
+
+
+def _kept(text: bytes, gone: np.ndarray) -> tuple[int, int, int, bytes]:
+    """Bytes, removed ones, removed runs, and what is left."""
+    n = int(gone.sum())
+    if not n:
+        return len(text), 0, 0, text
+    spans = int((np.diff(np.append(False, gone).astype(np.int8)) == 1).sum())
+    return len(text), n, spans, np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
