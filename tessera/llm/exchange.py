@@ -14,8 +14,10 @@ A text longer than a batch is cut into pieces that overlap, where the operator s
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import column, durable, free, fresh_dir, has_store, narrow, open_store, parts_for, trim
+from tessera.llm.shared import column, drop_folder, durable, free, fresh_dir, has_store, narrow, open_store, parts_for, trim
 
 #: Bytes of text in a batch, at least and at most.
 BATCH_BYTES, MOST_BYTES = 1 << 20, 64 << 20
@@ -165,10 +167,27 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     return Packed(durable(rows.mapInArrow(run, schema)))
 
 
-def unpack(sizes: list[int], blob: bytes, place: str) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(fetch(place, blob), max_output_size=max(1, sum(sizes)))
-    at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    return [raw[at[i] : at[i + 1]] for i in range(len(sizes))]
+class Batch:
+    """A row of packed batches in a task; texts are unpacked when they are asked for."""
+
+    def __init__(self, row: dict):
+        self.row, self.ids, self.sizes = row, row["ids"], row["sizes"]
+        self.number, self.piece, self.own = row["batch"], row["piece"], row["own"]
+
+    @cached_property
+    def raw(self) -> bytes:
+        """The texts end to end."""
+        return zstandard.ZstdDecompressor().decompress(fetch(self.row["place"], self.row["blob"]), max_output_size=max(1, sum(self.sizes)))
+
+    @cached_property
+    def texts(self) -> list[bytes]:
+        at = np.concatenate([[0], np.cumsum(self.sizes)]).tolist()
+        return [self.raw[at[i] : at[i + 1]] for i in range(len(self.sizes))]
+
+    def state(self, name: str) -> dict[str, np.ndarray]:
+        """What the batch put aside in the round ``name``."""
+        got = self.row[f"{name}_state"]
+        return pickle.loads(zstandard.ZstdDecompressor().decompress(fetch(got[1:].decode(), b"") if got[:1] == b"@" else got[1:]))
 
 
 NO_ID = np.iinfo(np.int64).max
@@ -179,15 +198,15 @@ def id_array(ids: list) -> np.ndarray:
     return np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
 
 
-def batch_rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], dict]]:
-    """(ids, texts, the row with its answers) for each row of packed batches."""
+def batch_rows(it: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+    """The rows of packed batches with their answers."""
     for b in it:
         names = [n for n in b.schema.names if n != "rest"]
         for i in range(b.num_rows):
             row = {n: b.column(n)[i].as_py() for n in names}
             if "rest" in b.schema.names:
                 row["rest"] = b.column("rest")[i].values
-            yield row["ids"], unpack(row["sizes"], row["blob"], row["place"]), row
+            yield Batch(row)
     trim()
 
 
@@ -229,18 +248,20 @@ class Told:
     parts: int
     back: tuple[str, ...]
 
-    def __call__(self, row: dict, *channels: np.ndarray) -> list[np.ndarray]:
+    def __call__(self, batch: Batch, *channels: np.ndarray) -> list[np.ndarray]:
         out = [np.zeros(len(keys), dtype="<u8" if w == "u6" else w) for keys, w in zip(channels, self.back, strict=True)]
-        raw = fetch(row[f"{self.name}_place"] or "", row[f"{self.name}_blob"] or b"")
+        raw = fetch(batch.row[f"{self.name}_place"] or "", batch.row[f"{self.name}_blob"] or b"")
         if raw:
+            unzip = zstandard.ZstdDecompressor()
             n = int(np.frombuffer(raw, "<i8", 1)[0])
             part, size = np.frombuffer(raw, "<i4", n, 8), np.frombuffer(raw, "<i8", n, 8 + 4 * n)
             start = 8 + 12 * n + np.cumsum(size) - size
             places = [split(keys, self.parts) for keys in channels]
-            for p, at in zip(part.tolist(), start.tolist(), strict=True):
+            for p, begin, n in zip(part.tolist(), start.tolist(), size.tolist(), strict=True):
+                bits, at = unzip.decompress(raw[begin : begin + n]), 0
                 for o, w, (order, bound) in zip(out, self.back, places, strict=True):
                     count = int(bound[p + 1] - bound[p])
-                    o[order[bound[p] : bound[p + 1]]] = _decode(raw, w, count, at)
+                    o[order[bound[p] : bound[p + 1]]] = _decode(bits, w, count, at)
                     at += count * _size(w)
         return out
 
@@ -253,6 +274,13 @@ class Packed:
         row = batches.agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("piece") >= 0).alias("pieces")).first()
         self.n_bytes, self.n_batches, self.n_pieces = row["bytes"] or 0, row["rows"], row["pieces"]
         self.spread = batches  # as they were read
+        self.aside: dict[str, str] = {}
+
+    def forget(self, *names: str) -> None:
+        """Remove what batches put aside in rounds that nothing asks for any more."""
+        for name in names:
+            if self.aside[name]:
+                drop_folder(self.aside[name])
 
     def answered(self) -> DataFrame:
         """Batches beside their answers, spread by their texts' size: a row is light, but what stands behind it is not."""
@@ -260,7 +288,7 @@ class Packed:
 
     def route(
         self,
-        ask: Callable[[list, list[bytes], dict], list[Channel]],
+        ask: Callable[[Batch], tuple[list[Channel], dict[str, np.ndarray] | None]],
         answer: Callable[[int, int, list[list[np.ndarray]]], list[np.ndarray]],
         widths: list[list[str]],
         back: list[str],
@@ -269,14 +297,16 @@ class Packed:
     ) -> Told:
         """A round: all batches ask, and get the places of their answers (``<name>_place``, ``<name>_blob``) as columns; gives what reads them.
 
-        ``ask(ids, texts, row)`` gives for each channel the distinct keys and the columns that travel
-        with them (dtypes ``widths``).  ``answer(part, channel, got)`` gets each asking batch's columns
+        ``ask(batch)`` gives for each channel the distinct keys and the columns that travel with them
+        (dtypes ``widths``), and what the batch puts aside for later rounds, in a file of its own whose
+        place travels (``Batch.state``).  ``answer(part, channel, got)`` gets each asking batch's columns
         in the order of the batches' numbers, however rows arrive, and gives each batch an array of
         ``back``'s dtype, one for each entry.  ``ask`` must give the same entries in the same order
         wherever it runs; a part that is answered again gives the same answers.
         """
-        rows, told = _route(self.spread, self.n_bytes, ask, answer, widths, back, key_bytes_per_byte, name)
+        rows, told, self.aside[name] = _route(self.spread, self.n_bytes, ask, answer, widths, back, key_bytes_per_byte, name)
         self.batches = durable(self.batches.join(rows, self.batches["batch"] == rows["to"], "left").drop("to"))
+        del rows
         free(self.batches.sparkSession)
         parts = min(self.n_batches, parts_for(self.batches.sparkSession, self.n_bytes, 4 * batch_bytes(self.n_bytes)))
         # by a hash, for Spark leaves out a repartition by what a join has dealt by, and then merges the light rows into few tasks
@@ -284,30 +314,36 @@ class Packed:
         return told
 
 
-def _route(batches: DataFrame, total: int, ask, answer, widths: list[list[str]], back: list[str], key_bytes_per_byte: float, name: str) -> tuple[DataFrame, Told]:
+def _route(batches: DataFrame, total: int, ask, answer, widths: list[list[str]], back: list[str], key_bytes_per_byte: float, name: str) -> tuple[DataFrame, Told, str]:
     spark = batches.sparkSession
     parts = parts_for(spark, total * key_bytes_per_byte, max(PART_BYTES, 4 * batch_bytes(total)))
-    folder = fresh_dir(spark, name) if has_store(spark) else ""
+    folder, aside_folder = (fresh_dir(spark, name), fresh_dir(spark, f"{name}-aside")) if has_store(spark) else ("", "")
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, row in batch_rows(it):
+        aside, squeeze = Blobs(aside_folder), zstandard.ZstdCompressor(level=1)
+        for batch in batch_rows(it):
             columns, bounds = [], []
-            for (keys, some), kinds in zip(ask(ids, texts, row), widths, strict=True):
+            channels, state = ask(batch)
+            for (keys, some), kinds in zip(channels, widths, strict=True):
                 order, at = split(keys, parts)
                 columns.append([(_encode(c[order], w), _size(w)) for c, w in zip(some, kinds, strict=True)])
                 bounds.append(at)
             bounds = np.array(bounds)
             counts = np.diff(bounds, axis=1)
             full = np.flatnonzero(counts.sum(axis=0)).tolist()
+            rows = [counts[:, p].astype("<i8").tobytes() + b"".join(c[bounds[k, p] * n : bounds[k, p + 1] * n] for k, some in enumerate(columns) for c, n in some) for p in full]
+            if state is not None:
+                blob = squeeze.compress(pickle.dumps(state))
+                rows.append(b"@" + aside.put(blob).encode() if aside_folder else b"=" + blob)
+                full.append(-1 - batch.number % parts)
             if full:
-                rows = [
-                    counts[:, p].astype("<i8").tobytes() + b"".join(c[bounds[k, p] * n : bounds[k, p + 1] * n] for k, some in enumerate(columns) for c, n in some)
-                    for p in full
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), pa.array(rows, pa.binary())], names=["part", "batch", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch.number] * len(full), pa.int64()), pa.array(rows, pa.binary())], names=["part", "batch", "entries"])
+        aside.close()
 
     def resolve(table: pa.Table) -> pa.Table:
-        table = table.sort_by("batch")
+        if table.column("part")[0].as_py() < 0:  # the places of what batches put aside
+            return table.rename_columns(["part", "batch", "bits"])
+        table, squeeze = table.sort_by("batch"), zstandard.ZstdCompressor(level=1)
         got: list[list[list[np.ndarray]]] = [[] for _ in widths]
         for raw in table.column("entries").to_pylist():
             counts, at = np.frombuffer(raw, "<i8", len(widths)).tolist(), 8 * len(widths)
@@ -318,24 +354,26 @@ def _route(batches: DataFrame, total: int, ask, answer, widths: list[list[str]],
                     at += n * _size(w)
         part = table.column("part")[0].as_py()
         said = [answer(part, k, some) for k, some in enumerate(got)]
-        bits = [b"".join(_encode(said[k][i], w) for k, w in enumerate(back)) for i in range(table.num_rows)]
+        bits = [squeeze.compress(b"".join(_encode(said[k][i], w) for k, w in enumerate(back))) for i in range(table.num_rows)]
         return pa.table({"part": table.column("part"), "batch": table.column("batch"), "bits": pa.array(bits, pa.binary())})
 
     def store(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = Blobs(folder)
         for b in it:
             for to, said in zip(b.column("to").to_pylist(), b.column("said").to_pylist(), strict=True):
-                said.sort(key=lambda x: x["part"])
+                state = [x["bits"] for x in said if x["part"] < 0]
+                said = sorted((x for x in said if x["part"] >= 0), key=lambda x: x["part"])
                 n = len(said)
                 blob = np.array([n], "<i8").tobytes() + np.array([x["part"] for x in said], "<i4").tobytes() + np.array([len(x["bits"]) for x in said], "<i8").tobytes() + b"".join(x["bits"] for x in said)
                 place = blobs.put(blob) if folder else ""
-                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([place], pa.string()), pa.array([None if folder else blob], pa.binary())], names=["to", f"{name}_place", f"{name}_blob"])
+                columns = [pa.array([to], pa.int64()), pa.array([place], pa.string()), pa.array([None if folder else blob], pa.binary()), pa.array([state[0] if state else None], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["to", f"{name}_place", f"{name}_blob", f"{name}_state"])
         blobs.close()
 
     sent = batches.mapInArrow(send, "part int, batch long, entries binary")
     told = sent.groupBy("part").applyInArrow(resolve, "part int, batch long, bits binary")
     by_batch = told.groupBy(F.col("batch").alias("to")).agg(F.collect_list(F.struct("part", "bits")).alias("said"))
-    return by_batch.mapInArrow(store, f"to long, {name}_place string, {name}_blob binary"), Told(name, parts, tuple(back))
+    return by_batch.mapInArrow(store, f"to long, {name}_place string, {name}_blob binary, {name}_state binary"), Told(name, parts, tuple(back)), aside_folder
 
 
 def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -137,16 +137,17 @@ def with_unique_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def _dedup(docs: DataFrame, id_col: str, text_col: str, least: int, others: list[str]) -> DataFrame:
     packed = pack(docs, id_col, text_col, keep=others, apart=True)
 
-    def ask(ids, texts, row):
-        _, _, _, place, _, columns = _ask(ids, texts, least)
-        return [(place, columns)]
+    def ask(batch):
+        _, _, _, place, _, columns = _ask(batch.ids, batch.texts, least)
+        return [(place, columns)], None
 
     told = packed.route(ask, lambda part, _, got: _answer(got), [["<u8", "<u8", "<i8", "<i8", "<u4"]], ["u1"], 0.4, "lines")
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, row in batch_rows(it):
+        for batch in batch_rows(it):
+            ids, texts = batch.ids, batch.texts
             who, doc, number, place, at, columns = _ask(ids, texts, least)
-            (bits,) = told(row, place)
+            (bits,) = told(batch, place)
             low = np.where(bits & 2, columns[2], np.iinfo(np.int64).min)  # elsewhere no id of this batch is the smallest
             drop = (bits[at] & 1 == 1) & (who[doc] != low[at]) if len(doc) else np.zeros(0, bool)
             gone: dict[int, set[int]] = {}
@@ -159,7 +160,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, least: int, others: list
                     text = b"\n".join(x for n, x in enumerate(text.split(b"\n")) if n not in gone[d])
                 kept.append(text)
             made = [pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array([len(gone.get(d, ())) for d in range(len(ids))], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*made, *([row["rest"]] if others else [])], names=["doc_id", "n_lines", "n_dropped", "text", *(["rest"] if others else [])])
+            yield pa.RecordBatch.from_arrays([*made, *([batch.row["rest"]] if others else [])], names=["doc_id", "n_lines", "n_dropped", "text", *(["rest"] if others else [])])
 
     schema = "doc_id long, n_lines long, n_dropped long, text string"
     if others:

@@ -9,11 +9,14 @@ the threshold, and the rest are compared on their full sets.
 Copies (equal sets) become one node first.  Within a bucket, members are compared with a hub, not
 with each other, and those that this leaves outside the hub's component are compared with the rest
 in blocks, so no link between different texts is lost to a bucket's size and no bucket's pairs are
-listed.
+listed.  A hub's members are dealt to slices of bounded size, each of which gets the hub's set once.
 
 Cases: a text without words, empty or null, has an empty set, is linked with nothing and is its own
 component; a text of fewer words than a shingle is one shingle; rows with the same id stay separate
-rows of one document; a null id is ignored where other ids give the smallest.
+rows of one document, and equal rows are one node however many there are; rows with a null id take part
+like others, but their id is ignored where other ids give the smallest, and a component without any id
+has a null one, whose rows are all kept; an empty table gives none; columns besides the id and the text
+are not looked at; a very long text is held whole by one worker, with some 30 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -155,7 +158,7 @@ def _filter_bits(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _filter(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of ids in at most eight bounded pieces, so that the driver gets eight times its size at most."""
+    """A Bloom filter of ids, from pieces of its size that reach the driver one by one."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(bits, dtype=bool)
@@ -164,13 +167,13 @@ def _filter(nodes: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(have).tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in nodes.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in nodes.coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(row["bits"], dtype=np.uint8)
     return out
 
 
 def _sets_of(shared, bits: int):
-    """Full sets, as sorted 48-bit fingerprints, of the texts whose id the filter knows."""
+    """Full sets, as sorted 48-bit fingerprints, of the texts whose id the filter knows or is null."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8))
@@ -179,13 +182,15 @@ def _sets_of(shared, bits: int):
             for b in it:
                 ids = b.column("doc_id")
                 at = _filter_bits(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
-                yield b.filter(pa.array((known[at[0]] & known[at[1]]).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)))
+                yield b.filter(pa.array((known[at[0]] & known[at[1]]).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)))
 
         for _, texts in grouped(some(), SLICE_BYTES):
             keys, at = shingle_sets(texts)
             short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            blobs = [short[at[i] : at[i + 1]].tobytes() for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([pa.array(set_ids(keys, at), pa.int64()), pa.array(blobs, pa.binary())], names=["node", "members"])
+            node, first = np.unique(set_ids(keys, at), return_index=True)  # copies once
+            full = at[first + 1] > at[first]
+            blobs = [short[at[i] : at[i + 1]].tobytes() for i in first[full].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(node[full], pa.int64()), pa.array(blobs, pa.binary())], names=["node", "members"])
 
     return run
 
@@ -197,20 +202,31 @@ def _wide(blob: bytes) -> np.ndarray:
 
 
 def _compared(percent: int):
-    """Pairs of a hub and a member that the likelihood leaves open and the full sets confirm."""
+    """Pairs of a hub and a member that the likelihood leaves open and the full sets confirm; rows come sorted, a slice's hub before its members."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
         for b in it:
-            if not b.num_rows:
+            hubs, rows = [], []
+            sides, nodes, sizes, regs = (b.column(c).to_pylist() for c in ("side", "node", "n", "regs"))
+            for i, side in enumerate(sides):
+                if side == 0:
+                    hub = (nodes[i], sizes[i], regs[i], _wide(b.column("members")[i].as_py()))
+                else:
+                    hubs.append(hub)
+                    rows.append(i)
+            if not rows:
                 continue
-            regs = [np.frombuffer(b"".join(b.column(x).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for x in ("hub_regs", "regs")]
-            b = b.filter(pa.array(doubtful(*regs, b.column("hub_n").to_numpy(), b.column("n").to_numpy(), percent)))
-            linked = []
-            for x, y in zip(b.column("hub_set"), b.column("members"), strict=True):
-                x, y = _wide(x.as_py()), _wide(y.as_py())
+            of_hub, own = (np.frombuffer(b"".join(x), dtype=np.uint16).reshape(len(rows), -1) for x in ([h[2] for h in hubs], [regs[i] for i in rows]))
+            open_ = doubtful(of_hub, own, np.array([h[1] for h in hubs]), np.array([sizes[i] for i in rows]), percent)
+            a, linked = [], []
+            for k in np.flatnonzero(open_).tolist():
+                x, y = hubs[k][3], _wide(b.column("members")[rows[k]].as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["hub", "node"]).filter(pa.array(linked, pa.bool_()))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    a.append(hubs[k][0])
+                    linked.append(nodes[rows[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(linked, pa.int64())], names=["hub", "node"])
 
     return run
 
@@ -286,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if n_nodes:
         bits = min(FILTER_BITS, 1 << max(10, (16 * n_nodes - 1).bit_length()))
         shared = spark.sparkContext.broadcast(_filter(meta.select("doc_id"), bits).tobytes())
-        sets = durable(rows.mapInArrow(_sets_of(shared, bits), "node long, members binary"))
+        sets = durable(rows.mapInArrow(_sets_of(shared, bits), "node long, members binary").dropDuplicates(["node"]))
         labels = _resolve(members, meta, sets, percent)
         smallest = meta.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
         linked = labels.join(smallest, "label").select("node", "component_id")
@@ -298,8 +314,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-#: Bytes of sets on each side of a block.
-BLOCK_BYTES = 1 << 20
+#: Bytes of sets on each side of a block, and rows of a hub's slice.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 500
+#: Hubs of more than one slice that are broadcast, at most: some megabytes.
+LARGE_HUBS = 200_000
 
 
 def _resolve(members: DataFrame, meta: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -314,8 +332,15 @@ def _resolve(members: DataFrame, meta: DataFrame, sets: DataFrame, percent: int)
     hubs = members.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
     pairs = durable(members.join(hubs, "key").select("hub", "node").distinct())
     own = meta.select("node", "n", "regs").join(sets, "node")
-    of_hub = meta.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs")).join(sets.select(F.col("node").alias("hub"), F.col("members").alias("hub_set")), "hub")
-    met = pairs.where("node != hub").join(own, "node").join(of_hub, "hub").select("hub", "node", "hub_n", "n", "hub_regs", "regs", "hub_set", "members")
+    slices = F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") * 6) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int")
+    sliced = durable(pairs.where("node != hub").join(meta.select("node", "n"), "node").groupBy("hub").agg(slices.alias("slices")))
+    columns = ["hub", "slice", "side", "node", "n", "regs", "members"]
+    large = sliced.where("slices > 1")
+    if large.limit(LARGE_HUBS + 1).count() <= LARGE_HUBS:  # beyond that many they are joined, and AQE splits a large one
+        large = F.broadcast(large)
+    some = pairs.where("node != hub").join(large, "hub", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("node"), "slices").cast("int"), F.lit(0))).drop("slices").withColumn("side", F.lit(1)).join(own, "node")
+    every = sliced.select("hub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("side"), F.col("hub").alias("node")).join(own, "node")
+    met = every.select(columns).unionByName(some.select(columns)).repartition("hub", "slice").sortWithinPartitions("hub", "slice", "side", "node")
     links = durable(met.mapInArrow(_compared(percent), "hub long, node long")).toDF("a", "b")
     labels = components(links)
     marked = pairs.join(labels, "node", "left").join(meta.select("node", "n"), "node").withColumn("label", F.coalesce("label", "node"))

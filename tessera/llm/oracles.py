@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm.urls import SPAM_WORDS
+from tessera.llm.urls import EXTENSIONS, SEGMENTS, SPAM_WORDS
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -105,6 +105,7 @@ FROM judged GROUP BY doc_id
 """
 
 _SPAM = ", ".join(f"'{w}'" for w in SPAM_WORDS)
+_SEGMENTS = ", ".join(f"'{w}'" for w in SEGMENTS)
 OP7 = f"""
 WITH rules(host, path, action) AS (VALUES
   ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
@@ -120,7 +121,7 @@ best AS (
   GROUP BY page_id
 )
 SELECT page_id, host, path, rule,
-  coalesce(action, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), [{_SPAM}]) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(action, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), [{_SPAM}]) OR list_has_any(string_split(path, '/'), [{_SEGMENTS}]) OR regexp_matches(path, '\\.({'|'.join(EXTENSIONS)})$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN best USING (page_id)
 """
 

@@ -5,8 +5,9 @@ feature histograms; features that only ever speak against a document get a monot
 fitted model is a handful of numpy node arrays, and scoring walks all rows down one level at a time.
 
 Cases: a null or empty text has no words and fails the base rules; without labels, or with one class
-only, the trees judge nothing and the base rules stand alone; rows with the same id are judged one
-by one.
+only, the trees judge nothing and the base rules stand alone; rows with the same id or none are judged one
+by one, and equal rows alike; an empty table gives none; other columns are not looked at, and ``keep``
+keeps them as they are; a very long text is measured whole, with some 100 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessera.llm.exchange import grouped, texts_of
 from tessera.llm.hashing import Joined, Slices, mix
@@ -211,9 +213,11 @@ def judge(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col
 def keep(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; one scan, no shuffle."""
 
+    names, at = docs.columns, docs.columns.index(text_col)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts, verdicts, some, size = texts_of(b.column(text_col)), [], [], 0
+            texts, verdicts, some, size = texts_of(b.column(at)), [], [], 0
             for t in texts:
                 if some and size + len(t) > SLICE_BYTES:
                     verdicts.append(judged(some, trees)[3])
@@ -227,4 +231,5 @@ def keep(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFr
         trim()
 
     size_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names with dots are no names for a plan's columns
+    return plain.mapInArrow(run, StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema)])).toDF(*names)

@@ -42,9 +42,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    folder = tokens.new_folder(docs)
-    index = tokens.write_shards(docs, tokenizer_path("word_bpe_49k.json"), folder)
-    return tokens.read_shards(index, folder)
+    with workspace():
+        folder = tokens.new_folder(docs)
+        tokens.write_shards(docs, tokenizer_path("word_bpe_49k.json"), folder)
+        return durable(tokens.read_shards(spark, folder))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

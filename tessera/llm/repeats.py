@@ -14,7 +14,7 @@ window on the words' names; of these windows only those are asked about whose an
 their word q-grams, stands elsewhere too; and where a string has shown a repeat, one occurrence stands for
 all of them.
 
-Words are told apart by 128 bits of a hash, runs and pairs by their names, strings and windows by 96 bits
+Words are told apart by 96 bits of a hash, runs and pairs by their names, strings and windows by 96 bits
 of two hashes of their names.
 
 Cases: a null or wordless text keeps nothing and removes nothing; a text shorter than a window keeps
@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tessera.llm.exchange import Told, batch_rows, distinct, mark_shared, name_shared, pack
+from tessera.llm.exchange import Batch, batch_rows, distinct, mark_shared, name_shared, pack
 from tessera.llm.hashing import Joined, Slices, mix
 from tessera.llm.suffixes import sliding_min
 
@@ -62,78 +62,70 @@ def _keys(*columns: np.ndarray) -> Keys:
 
 
 class Symbols:
-    """A parse of a batch's words: names (0: none), first words and documents; documents never share a symbol."""
-
-    def __init__(self, name: np.ndarray, doc: np.ndarray):
-        self.name, self.start, self.doc = name, np.arange(len(name)), doc
-        self._wanted: tuple | None = None
-
-    def wanted(self, round_: int) -> Keys:
-        """What a round asks for: pairs of runs, and runs that pair with nothing, as (name, length, name, length)."""
-        n = len(self.name)
+    """A parse of a batch's words: names (0: none) and first words; documents never share a symbol."""
+
+    def __init__(self, name: np.ndarray, start: np.ndarray, first: np.ndarray):
+        """``first`` are the documents' first words, and the number of words."""
+        self.name, self.start, self.first = name, start, first
+
+    def wanted(self, round_: int) -> tuple[Keys, tuple]:
+        """What a round asks for, pairs of runs and runs that pair with nothing as (name, length, name, length), and what ``named`` needs."""
+        n, words = len(self.name), int(self.first[-1])
+        new_doc = np.zeros(words + 1, dtype=bool)
+        new_doc[self.first] = True
+        begins = new_doc[self.start]  # a document's first word is a symbol's first
         same = np.zeros(n, dtype=bool)
-        if n > 1:
-            same[1:] = (self.name[1:] == self.name[:-1]) & (self.doc[1:] == self.doc[:-1]) & (self.name[1:] > 0)
+        same[1:] = (self.name[1:] == self.name[:-1]) & ~begins[1:] & (self.name[1:] > 0)
         head = np.flatnonzero(~same)
         size = np.diff(np.append(head, n)).astype(np.uint64)
-        name, doc = self.name[head], self.doc[head]
+        name, begins = self.name[head], begins[head]
         with np.errstate(over="ignore"):
             left = mix(name * np.uint64(31) + size, 100 + round_) & np.uint64(1) == 1
         joins = np.zeros(len(head), dtype=bool)
-        joins[:-1] = left[:-1] & ~left[1:] & (name[:-1] > 0) & (name[1:] > 0) & (doc[1:] == doc[:-1])
-        behind = np.append(False, joins[:-1])  # the second half of a pair
+        joins[:-1] = left[:-1] & ~left[1:] & (name[:-1] > 0) & (name[1:] > 0) & ~begins[1:]
+        behind = np.append(False, joins[:-1])[: len(head)]  # the second half of a pair
         alone = ~joins & ~behind & (size > 1) & (name > 0)
         asks = np.flatnonzero(joins | alone)
         other = np.minimum(asks + 1, len(head) - 1)
         pair = joins[asks]
-        columns = [name[asks], size[asks], np.where(pair, name[other], np.uint64(0)), np.where(pair, size[other], np.uint64(0))]
-        at, place, some = _keys(*columns)
-        self._wanted = head, behind, asks, at
-        return at, place, some
-
-    def named(self, said: np.ndarray) -> None:
-        """Take the names that the round gave; what stands once has none from now on."""
-        head, behind, asks, at = self._wanted
+        keys = _keys(name[asks], size[asks], np.where(pair, name[other], np.uint64(0)), np.where(pair, size[other], np.uint64(0)))
+        return keys, (head, behind, asks, keys[0])
+
+    def named(self, wanted: tuple, said: np.ndarray) -> Symbols:
+        """The parse after the round gave its names; what stands once has none from now on."""
+        head, behind, asks, at = wanted
         name = self.name[head]
         name[asks] = said[at]
-        keep = ~behind
-        self.name, self.start, self.doc = name[keep], self.start[head[keep]], self.doc[head[keep]]
+        return Symbols(name[~behind], self.start[head[~behind]], self.first)
 
+    def aside(self) -> dict[str, np.ndarray]:
+        return {**_named(self.name), "step": np.diff(self.start, prepend=0).astype(np.uint32)}
 
-class Parsed:
-    """A batch's words, and what they ask about given the answers so far."""
-
-    def __init__(self, texts: list[bytes], window: int, own: int | None = None):
-        self.window, self.texts = window, texts
-        self.joined = j = Joined(texts)
-        self.doc = j.doc_of_word()
-        self.n = len(self.doc)
-        self.stop = j.first[1:][self.doc]
-        self.own = self.n if own is None else int(np.searchsorted(j.word_start, own))
-        p = np.arange(self.own)
-        self.p = p[p + window <= self.stop[: self.own]]  # where windows begin
 
-    @cached_property
-    def words(self) -> Keys:
+class Words:
+    """The words of a batch's texts, for the first round and the result."""
+
+    def __init__(self, batch: Batch):
+        self.joined = j = Joined(batch.texts)
+        self.first = j.first
+        self.own = len(j.word_start) if batch.piece < 0 else int(np.searchsorted(j.word_start, batch.own))
+
+    def keys(self) -> Keys:
         j, raw = self.joined, self.joined.data.tobytes()
         _, first, at, count = np.unique(j.word_hashes(), return_index=True, return_inverse=True, return_counts=True)
         prints = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(j.word_start[first].tolist(), j.word_end[first].tolist(), strict=True))
         one, two = np.frombuffer(prints, "<u8").reshape(-1, 2).T
-        return at, mix(one, 59), [one, two, (count > 1).astype(np.uint8)]
-
-    def parse(self, row: dict, rounds: list[Told]) -> Symbols:
-        """The symbols after some rounds, the first of which names words."""
-        name = np.zeros(self.n, dtype=np.uint64)
-        if rounds:
-            at, place, _ = self.words
-            (said,) = rounds[0](row, place)
-            name = said[at]
-        self.name = name
-        symbols = Symbols(name, self.doc)
-        for k, told in enumerate(rounds[1:]):
-            _, place, _ = symbols.wanted(k)
-            symbols.named(told(row, place)[0])
-        return symbols
+        return at, mix(one, 59), [one, two >> np.uint64(33) << np.uint64(1) | (count > 1).astype(np.uint64)]
+
+
+class Parsed:
+    """A batch as names of words, and what it asks about its windows given the answers so far."""
+
+    def __init__(self, name: np.ndarray, first: np.ndarray, own: int, window: int):
+        self.name, self.window, self.own, self.n = name, window, own, len(name)
+        self.stop = np.repeat(first[1:], np.diff(first))  # where each word's document ends
+        p = np.arange(own)
+        self.p = p[p + window <= self.stop[:own]]  # where windows begin
 
     @cached_property
     def slices(self) -> tuple[Slices, Slices, np.ndarray]:
@@ -150,7 +142,7 @@ class Parsed:
         start, n = symbols.start, self.n
         bounds = np.append(start, n)
         barrier = np.append(start[symbols.name == 0], n)
-        stop = np.minimum(self.stop[start], barrier[np.searchsorted(barrier, start)]) if len(start) else start
+        stop = np.minimum(self.stop[start], barrier[np.searchsorted(barrier, start)])
         after = np.minimum(bounds[1:], stop)
         end = np.minimum(bounds[np.searchsorted(bounds, after + self.window - 1).clip(0, len(bounds) - 1)], stop)
         until = np.minimum(after, end - self.window + 1)
@@ -165,13 +157,11 @@ class Parsed:
         np.add.at(edge, until, -1)
         return np.cumsum(edge[:-1]) > 0
 
-    def known(self, row: dict, symbols: Symbols, phrases: Told) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def known(self, start: np.ndarray, until: np.ndarray, at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows known as repeats, where windows begin that others may be verified against, and which of these are open themselves.
 
         One occurrence of each string that stands twice stands for the rest of them there.
         """
-        start, until, (at, place, _) = self.phrases(symbols)
-        (bits,) = phrases(row, place)
         shared = (bits & 1 == 1)[at]
         owner = np.zeros(len(at), dtype=bool)
         owner[np.unique(at, return_index=True)[1]] = bits & 2 == 2
@@ -204,14 +194,20 @@ class Parsed:
         np.maximum.at(wanted, at, is_open.astype(np.uint8))
         return at, keys << np.uint64(16), [keys, many.astype(np.uint8), wanted]
 
-    def windows(self, row: dict, symbols: Symbols, phrases: Told, grams: Told) -> tuple[np.ndarray, np.ndarray, Keys]:
-        """Repeats so far, the windows to verify, and their keys."""
-        hit, p, is_open = self.known(row, symbols, phrases)
-        at, place, _ = self.anchors(p, is_open)
-        (bits,) = grams(row, place)
-        p = p[(bits == 1)[at]] if len(p) else p
+    def windows(self, p: np.ndarray) -> Keys:
         one, two, _ = self.slices
-        return hit, p, _keys(one.hash(p, p + self.window, 66), two.hash(p, p + self.window, 67) >> np.uint64(32))
+        return _keys(one.hash(p, p + self.window, 66), two.hash(p, p + self.window, 67) >> np.uint64(32))
+
+
+def _named(name: np.ndarray) -> dict[str, np.ndarray]:
+    """Names as numbers of distinct ones, which press better."""
+    names, of = np.unique(name, return_inverse=True)
+    return {"names": names, "of": of.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)}
+
+
+def _short(at: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    """What reads answers later: parts go by the upper half of ``place``."""
+    return {"at": at.astype(np.uint32), "place": place >> np.uint64(32) << np.uint64(32)}
 
 
 def _wanted_elsewhere(got: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -252,77 +248,98 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if window < GRAM + 2:
         raise ValueError(f"windows have {GRAM + 2} words at least")
     packed = pack(docs, id_col, text_col, limit, apart=True, cut=_cutter(window))
-    rounds: list[Told] = []
 
-    def parse(texts, row):
-        x = Parsed(texts, window, row["own"] if row["piece"] >= 0 else None)
-        return x, x.parse(row, rounds)
+    def ask_words(batch):
+        return [Words(batch).keys()[1:]], None
 
-    def ask_words(ids, texts, row):
-        _, place, columns = Parsed(texts, window).words
-        return [(place, columns)]
+    words = packed.route(ask_words, lambda part, _, got: name_shared(part, [[one, two >> np.uint32(1), (two & np.uint32(1)).astype(np.uint8)] for one, two in got], 2), [["<u8", "<u4"]], ["u6"], 0.5, "words")
 
-    told = packed.route(ask_words, lambda part, _, got: name_shared(part, got, 2), [["<u8", "<u8", "u1"]], ["u6"], 0.4, "words")
-    rounds.append(told)
+    def parsed(batch: Batch) -> Parsed:
+        base = batch.state("round0")
+        return Parsed(base["names"][base["of"]], base["first"], int(base["own"][0]), window)
 
+    def symbols_of(batch: Batch, k: int) -> Symbols:
+        """The parse that round ``k`` asked about."""
+        state, first = batch.state(f"round{k}"), batch.state("round0")["first"]
+        name = state["names"][state["of"]]
+        return Symbols(name, np.cumsum(state["step"], dtype=np.int64) if k else np.arange(len(name)), first)
+
+    told = None
     for k in range(ROUNDS):
 
-        def ask_symbols(ids, texts, row, k=k, rounds=tuple(rounds)):
-            _, place, columns = Parsed(texts, window).parse(row, list(rounds)).wanted(k)
-            return [(place, columns)]
+        def ask_symbols(batch, k=k, told=told):
+            if k == 0:
+                own = Words(batch)
+                at, place, _ = own.keys()
+                name = words(batch, place)[0][at]
+                symbols, state = Symbols(name, np.arange(len(name)), own.first), {"first": own.first, "own": np.array([own.own]), **_named(name)}
+            else:
+                symbols = symbols_of(batch, k - 1)
+                (_, place, _), wanted = symbols.wanted(k - 1)
+                symbols = symbols.named(wanted, told(batch, place)[0])
+                state = symbols.aside()
+            return [symbols.wanted(k)[0][1:]], state
 
         kinds = ["u6", "<u4", "u6", "<u4", "u1"]
         told = packed.route(ask_symbols, lambda part, _, got: name_shared(part, got, 4), [kinds], ["u6"], 0.6 * 0.75**k, f"round{k}")
-        rounds.append(told)
+        if k > 1:
+            packed.forget(f"round{k - 1}")
 
-    def ask_phrases(ids, texts, row):
-        x, symbols = parse(texts, row)
-        _, place, columns = x.phrases(symbols)[2]
-        return [(place, columns)]
+    def ask_phrases(batch, told=told):
+        symbols = symbols_of(batch, ROUNDS - 1)
+        (_, place, _), wanted = symbols.wanted(ROUNDS - 1)
+        start, until, (at, place, columns) = parsed(batch).phrases(symbols.named(wanted, told(batch, place)[0]))
+        return [(place, columns)], {"start": start.astype(np.uint32), "until": until.astype(np.uint32), **_short(at, place)}
 
     phrases = packed.route(ask_phrases, lambda part, _, got: mark_shared(got, 2), [["<u8", "<u4", "u1"]], ["u1"], 0.4, "phrases")
+    packed.forget(f"round{ROUNDS - 1}")
 
-    def ask_anchors(ids, texts, row):
-        x, symbols = parse(texts, row)
-        _, place, columns = x.anchors(*x.known(row, symbols, phrases)[1:])
-        return [(place, columns)]
+    def ask_anchors(batch):
+        x, before = parsed(batch), batch.state("phrases")
+        hit, p, is_open = x.known(before["start"], before["until"], before["at"].astype(np.int64), phrases(batch, before["place"])[0])
+        at, place, columns = x.anchors(p, is_open)
+        return [(place, columns)], {"hit": np.packbits(hit), "p": p.astype(np.uint32), **_short(at, place)}
 
     grams = packed.route(ask_anchors, lambda part, _, got: _wanted_elsewhere(got), [["u6", "u1", "u1"]], ["u1"], 0.1, "grams")
+    packed.forget("phrases")
 
-    def ask_windows(ids, texts, row):
-        x, symbols = parse(texts, row)
-        _, place, columns = x.windows(row, symbols, phrases, grams)[2]
-        return [(place, columns)]
+    def ask_windows(batch):
+        before = batch.state("grams")
+        p = before["p"].astype(np.int64)
+        p = p[(grams(batch, before["place"])[0] == 1)[before["at"]]] if len(p) else p
+        at, place, columns = parsed(batch).windows(p)
+        return [(place, columns)], {"hit": before["hit"], "p": p.astype(np.uint32), **_short(at, place)}
 
     last = packed.route(ask_windows, lambda part, _, got: mark_shared(got, 2), [["<u8", "<u4", "u1"]], ["u1"], 0.3, "windows")
-
-    def gone(texts: list[bytes], row: dict) -> tuple[Parsed, np.ndarray]:
-        """Which words some repeated window covers."""
-        x, symbols = parse(texts, row)
-        hit, p, (at, place, _) = x.windows(row, symbols, phrases, grams)
-        (bits,) = last(row, place)
-        hit[p[(bits & 1 == 1)[at]]] = True
-        inside = np.zeros(x.n, dtype=bool)
-        inside[x.p] = True
-        p = np.flatnonzero(hit & inside)
-        edge = np.zeros(x.n + 1, dtype=np.int64)
+    packed.forget("grams")
+
+    def gone(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """The documents' first words, and which words some repeated window covers."""
+        base, before = batch.state("round0"), batch.state("windows")
+        first, own = base["first"], int(base["own"][0])
+        n = int(first[-1])
+        hit = np.unpackbits(before["hit"], count=n).astype(bool)
+        hit[before["p"][(last(batch, before["place"])[0] & 1 == 1)[before["at"]]]] = True
+        hit[own:] = False
+        p = np.flatnonzero(hit)
+        edge = np.zeros(n + 1, dtype=np.int64)
         edge[p] += 1
         edge[p + window] -= 1
-        return x, np.cumsum(edge[:-1]) > 0
+        return first, np.cumsum(edge[:-1]) > 0
 
     names = ["doc_id", "n_words", "n_removed", "text"]
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, row in batch_rows(it):
-            x, mask = gone(texts, row)
-            rows = [_kept(text.split(), mask[x.joined.first[d] : x.joined.first[d + 1]]) for d, text in enumerate(texts)]
+        for batch in batch_rows(it):
+            first, mask = gone(batch)
+            rows = [_kept(text.split(), mask[first[d] : first[d + 1]]) for d, text in enumerate(batch.texts)]
             cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.binary()).cast(pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.binary()).cast(pa.string())], names=names)
 
     def finish_piece(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, row in batch_rows(it):
-            x, mask = gone(texts, row)
-            columns = [pa.array([row["row"]], pa.int64()), pa.array([row["piece"]], pa.int32()), pa.array(ids, pa.int64()), pa.array([texts[0][: row["own"]]], pa.binary()), pa.array([mask.astype(np.uint8).tobytes()], pa.binary())]
+        for batch in batch_rows(it):
+            _, mask = gone(batch)
+            columns = [pa.array([batch.row["row"]], pa.int64()), pa.array([batch.piece], pa.int32()), pa.array(batch.ids, pa.int64()), pa.array([batch.raw[: batch.own]], pa.binary()), pa.array([mask.astype(np.uint8).tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "piece", "doc_id", "data", "mask"])
 
     def whole(table: pa.Table) -> pa.Table:

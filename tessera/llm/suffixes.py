@@ -9,11 +9,11 @@ Not every suffix of a corpus can be sorted, so this happens twice.  First the sp
 at content-defined cuts are refined, the segments between cuts being the initial buckets, and then
 pointers to 1 and 2 segments on; a string of segments that a smaller document has too settles all
 strings inside it.  Then, of the strings still open, those whose smallest q-gram (by hash) is that of an
-open string of another document are refined byte by byte: buckets of equal half strings, then pairs of
-the buckets of both halves.  The smallest document with a string is never settled by segments that have
+open string of another document, and whose largest one too, are refined byte by byte: buckets of equal
+half strings, then pairs of the buckets of both halves.  The smallest document with a string is never settled by segments that have
 the string, so it is always among those left.
 
-Initial buckets are told apart by 96 and 128 bits of independent hashes of their bytes, all later ones
+Initial buckets are told apart by 95 and 128 bits of independent hashes of their bytes, all later ones
 by bucket numbers.
 
 Cases: a null or empty text has no bytes; a text shorter than ``DEPTH`` keeps all; matches never
@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tessera.llm.exchange import Told, batch_rows, distinct, id_array, joined, lowest, mark_shared, name_shared, names_of, pack
+from tessera.llm.exchange import Batch, batch_rows, distinct, id_array, joined, lowest, mark_shared, name_shared, names_of, pack
 from tessera.llm.hashing import Slices, mix
 
 DEPTH = 50
@@ -91,22 +91,20 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(level[: len(values) - width + 1], level[width - have :][: len(values) - width + 1])
 
 
-#: Keys of a batch: who asks, the number of each one's key, what deals the keys, and the columns that travel.
-Keys = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
-
-
 class Parsed:
     """A batch's bytes, and what they ask about given the answers so far."""
 
-    def __init__(self, ids: list, texts: list[bytes], depth: int, own: int | None = None):
-        self.depth, self.half = depth, -(-depth // 2)
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    def __init__(self, batch: Batch, depth: int):
+        self.batch, self.depth, self.half = batch, depth, -(-depth // 2)
+        sizes = np.array(batch.sizes, dtype=np.int64)
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
-        self.who = id_array(ids)
-        self.raw = b"".join(texts)
-        self.data = np.frombuffer(self.raw, dtype=np.uint8)
-        self.own = len(self.data) if own is None else own
-        self.open = np.flatnonzero(sizes >= depth)
+        self.n = int(self.begin[-1])
+        self.who = id_array(batch.ids)
+        self.long = np.flatnonzero(sizes >= depth)
+
+    @cached_property
+    def data(self) -> np.ndarray:
+        return np.frombuffer(self.batch.raw, dtype=np.uint8)
 
     @cached_property
     def slices(self) -> Slices:
@@ -115,86 +113,66 @@ class Parsed:
     @cached_property
     def gram(self) -> np.ndarray:
         """The hash of each q-gram; the largest number where it would cross a document's end."""
-        out = np.full(len(self.data) + 1, np.uint64(2**64 - 1))
-        x = np.arange(max(0, len(self.data) - GRAM + 1))
+        out = np.full(self.n + 1, np.uint64(2**64 - 1))
+        x = np.arange(max(0, self.n - GRAM + 1))
         out[: len(x)] = self.slices.hash(x, x + GRAM, 81)
         for k in range(1, GRAM):
             out[np.maximum(self.begin[1:] - k, 0)] = np.uint64(2**64 - 1)
-        return out
+        return out[: self.n]
 
-    @cached_property
-    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and documents of the segments between cuts; a document's begin is a cut."""
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, at, side="right") - 1
+
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the segments between cuts; a document's begin is a cut."""
         pad = np.full(REACH, np.uint64(2**64 - 1))
-        gram = self.gram[: len(self.data)]
-        around = sliding_min(np.concatenate([pad, gram, pad]), REACH) if len(gram) else gram
-        before, after = around[: len(gram)], around[REACH + 1 :][: len(gram)]
-        cut = (gram < before) & (gram <= after)
-        cut[self.begin[self.open]] = True
+        around = sliding_min(np.concatenate([pad, self.gram, pad]), REACH) if self.n else self.gram
+        before, after = around[: self.n], around[REACH + 1 :][: self.n]
+        cut = (self.gram < before) & (self.gram <= after)
+        cut[self.begin[self.long]] = True
         start = np.flatnonzero(cut)
-        doc = np.searchsorted(self.begin, start, side="right") - 1
+        doc = self.doc(start)
         stop = self.begin[doc + 1]
-        end = np.minimum(np.append(start[1:], len(self.data)), stop)
+        end = np.minimum(np.append(start[1:], self.n), stop)
         ok = stop - self.begin[doc] >= self.depth
-        return start[ok], end[ok], doc[ok]
+        return start[ok], end[ok]
 
-    @cached_property
-    def n_levels(self) -> int:
-        """Rounds over segments until a string of segments holds any string of ``depth`` that stands inside a few."""
-        most = -(-(self.depth - 1) // (REACH + 1)) + 1
-        return (most - 1).bit_length() + 1
-
-    def _keys(self, asking: np.ndarray, one: np.ndarray, two: np.ndarray, who: np.ndarray) -> Keys:
-        """Distinct pairs, with the smallest document of each and whether there are several here."""
+    def keys(self, one: np.ndarray, two: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The number of each pair's key, what deals the keys, and distinct pairs with the smallest document of each and whether there are several here."""
         first, at, _ = distinct(one, two)
         low = lowest(at, who, len(first))
         high = -1 - lowest(at, -1 - who, len(first))
         one, two = one[first], two[first]
-        return asking, at, mix(one ^ mix(two, 85), 86), [one, two, low, (low != high).astype(np.uint8)]
-
-    def level(self, k: int, name: np.ndarray) -> Keys:
-        """What segments ask in round ``k``: at first for their bytes, then for their bucket and that of ``2**(k-1)`` segments on."""
-        start, end, doc = self.segments
-        if k == 0:
-            prints = b"".join(xxhash.xxh3_128_digest(self.raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True))
-            one, two = np.frombuffer(prints, "<u8").reshape(-1, 2).T
-            return self._keys(np.arange(len(start)), one, two, self.who[doc])
-        step = 1 << (k - 1)
-        i = np.arange(max(0, len(start) - step))
-        i = i[(name[i] > 0) & (name[i + step] > 0) & (doc[i] == doc[i + step])]
-        return self._keys(i, name[i], name[i + step], self.who[doc[i]])
-
-    def refined(self, row: dict, rounds: list[Told]) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the segments after some rounds, and which strings a smaller document is known to have."""
-        start, end, doc = self.segments
-        name, edge = np.zeros(len(start), np.uint64), np.zeros(len(self.data) + 1, dtype=np.int64)
-        for k, told in enumerate(rounds):
-            i, at, place, columns = self.level(k, name)
-            (said,) = told(row, place)
-            name = np.zeros(len(start), np.uint64)
-            name[i] = (said >> np.uint64(1))[at]
-            dup = ((said & np.uint64(1)) == 1)[at] | (columns[2][at] < self.who[doc[i]])
-            until = end[i + (1 << k) - 1] - self.depth + 1  # strings that begin there no longer end in these segments
-            ok = dup & (until > start[i])
-            edge[start[i[ok]]] += 1
-            np.add.at(edge, until[ok], -1)
-        return name, np.cumsum(edge[:-1]) > 0
-
-    def starts(self, hit: np.ndarray) -> np.ndarray:
+        return at, mix(one ^ mix(two, 85), 86), [one, two, low, (low != high).astype(np.uint8)]
+
+    def settled(self, state: dict, k: int, said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the segments after round ``k``, and an edge count of the strings that a smaller document is known to have."""
+        start, end, i, at = (state[c].astype(np.int64) for c in ("start", "end", "asking", "at"))
+        who = self.who[self.doc(start[i])]
+        name = np.zeros(len(start), np.uint64)
+        name[i] = (said >> np.uint64(1))[at]
+        dup = ((said & np.uint64(1)) == 1)[at] | (lowest(at, who, len(said))[at] < who)
+        until = end[i + (1 << k) - 1] - self.depth + 1  # strings that begin there no longer end in these segments
+        ok = dup & (until > start[i])
+        edge = state["edge"].copy()
+        edge[start[i[ok]]] += 1
+        np.add.at(edge, until[ok], -1)
+        return name, edge
+
+    def open(self, hit: np.ndarray) -> np.ndarray:
         """Where strings begin that are open yet."""
-        mark = np.zeros(len(self.data) + 1, dtype=np.int64)
-        mark[self.begin[self.open]] += 1
-        mark[self.begin[self.open + 1] - self.depth + 1] -= 1
-        inside = np.cumsum(mark[:-1]) > 0
-        inside[self.own :] = False
+        mark = np.zeros(self.n + 1, dtype=np.int8)
+        mark[self.begin[self.long]] += 1
+        mark[self.begin[self.long + 1] - self.depth + 1] -= 1
+        inside = np.cumsum(mark[:-1], dtype=np.int8) > 0
+        inside[self.batch.own :] = False
         return np.flatnonzero(inside & ~hit)
 
-    def anchors(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Each string's anchor number, what deals the anchors, and the columns that travel."""
+    def anchors(self, p: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Each string's anchor number, what deals the anchors, and the columns that travel; ``low`` is each string's smallest gram."""
         if not len(p):
             return p, np.zeros(0, np.uint64), [np.zeros(0, np.uint64), np.zeros(0, np.uint8)]
-        low = sliding_min(self.gram[: len(self.data)], self.depth - GRAM + 1)[p]
-        doc = np.searchsorted(self.begin, p, side="right") - 1
+        doc = self.doc(p)
         new = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))
         # the smallest hashes crowd at the low end; mixed again they spread over the parts
         keys, first, at = np.unique(mix(low[new], 82) >> np.uint64(16), return_index=True, return_inverse=True)
@@ -203,35 +181,22 @@ class Parsed:
         np.logical_or.at(many, at, who != who[first][at])
         return at[np.cumsum(new) - 1], keys << np.uint64(16), [keys, many.astype(np.uint8)]
 
-    def candidates(self, row: dict, rounds: list[Told], grams: Told) -> tuple[np.ndarray, np.ndarray]:
-        """Strings known to be in a smaller document, and where those begin that another document may have."""
-        _, hit = self.refined(row, rounds)
-        p = self.starts(hit)
-        at, place, _ = self.anchors(p)
-        (bits,) = grams(row, place)
-        return hit, p[(bits & 1 == 1)[at]] if len(p) else p
-
-    def halves(self, p: np.ndarray) -> Keys:
-        """The initial buckets of the strings at ``p``: equal first and equal last halves."""
-        need = np.zeros(len(self.data) + 1, dtype=bool)
+    def both_anchors(self, p: np.ndarray) -> list[tuple]:
+        """Anchors by the smallest and by the largest gram of each string."""
+        width = self.depth - GRAM + 1
+        if not len(p):
+            return [self.anchors(p, p)] * 2
+        return [self.anchors(p, sliding_min(self.gram, width)[p]), self.anchors(p, sliding_min(~self.gram, width)[p])]
+
+    def halves(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The initial buckets of the strings at ``p``, equal first and equal last halves: where they begin, key numbers, what deals them, columns."""
+        need = np.zeros(self.n + 1, dtype=bool)
         need[p] = True
         need[p + self.depth - self.half] = True
         x = np.flatnonzero(need)
-        other = Slices(self.data, 1)
-        one, two = self.slices.hash(x, x + self.half, 83), other.hash(x, x + self.half, 84) >> np.uint64(32)
-        i, at, place, columns = self._keys(x, one, two, self.who[np.searchsorted(self.begin, x, side="right") - 1])
-        return i, at, place, [*columns[:2], columns[3]]
-
-    def strings(self, row: dict, p: np.ndarray, halves: Told) -> Keys:
-        """The buckets of the strings at ``p``: pairs of the buckets of both halves, where neither is alone."""
-        x, at, place, _ = self.halves(p)
-        (said,) = halves(row, place)
-        name = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        name[x] = said[at]
-        one, two = name[p], name[p + self.depth - self.half]
-        ok = (one > 0) & (two > 0)
-        p = p[ok]
-        return self._keys(p, one[ok], two[ok], self.who[np.searchsorted(self.begin, p, side="right") - 1])
+        one, two = self.slices.hash(x, x + self.half, 83), Slices(self.data, 1).hash(x, x + self.half, 84) >> np.uint64(33)
+        at, place, (one, two, _, many) = self.keys(one, two, self.who[self.doc(x)])
+        return x, at, place, [one, two << np.uint64(1) | many.astype(np.uint64)]
 
 
 def _refine(part: int, got: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -252,6 +217,18 @@ def _smaller(got: list[list[np.ndarray]]) -> list[np.ndarray]:
     return np.split((lowest(at, low, len(count))[at] < low).astype(np.uint8), cuts)
 
 
+def n_levels(depth: int) -> int:
+    """Rounds over segments until a string of segments holds any string of ``depth`` that stands inside a few."""
+    most = -(-(depth - 1) // (REACH + 1)) + 1
+    return (most - 1).bit_length() + 1
+
+
+def _marked(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, dtype=bool)
+    out[at] = True
+    return out
+
+
 def _cutter(depth: int):
     def cut(text: bytes, limit: int) -> list[tuple[int, int, int]]:
         return [(a, min(a + limit, len(text)), min(a + limit + depth - 1, len(text))) for a in range(0, len(text), limit)]
@@ -268,53 +245,82 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if depth < GRAM + 8:
         raise ValueError(f"strings have {GRAM + 8} bytes at least")
     packed = pack(docs, id_col, text_col, limit, apart=True, cut=_cutter(depth))
-    parse = lambda ids, texts, row: Parsed(ids, texts, depth, row["own"])
-    rounds: list[Told] = []
-
-    for k in range(Parsed([], [], depth).n_levels):
-
-        def ask_segments(ids, texts, row, k=k, rounds=tuple(rounds)):
-            x = parse(ids, texts, row)
-            _, _, place, columns = x.level(k, x.refined(row, list(rounds))[0])
-            return [(place, columns)]
+    levels = n_levels(depth)
+    told = None
+    for k in range(levels):
+
+        def ask_segments(batch, k=k, told=told):
+            x = Parsed(batch, depth)
+            if k == 0:
+                start, end = x.cuts()
+                prints = b"".join(xxhash.xxh3_128_digest(batch.raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True))
+                one, two = np.frombuffer(prints, "<u8").reshape(-1, 2).T
+                edge, i = np.zeros(x.n + 1, dtype=np.int16), np.arange(len(start))
+            else:
+                before, step = batch.state(f"level{k - 1}"), 1 << (k - 1)
+                name, edge = x.settled(before, k - 1, told(batch, before["place"])[0])
+                start, end = before["start"].astype(np.int64), before["end"].astype(np.int64)
+                i = np.arange(max(0, len(start) - step))
+                doc = x.doc(start)
+                i = i[(name[i] > 0) & (name[i + step] > 0) & (doc[i] == doc[i + step])]
+                one, two = name[i], name[i + step]
+            at, place, columns = x.keys(one, two, x.who[x.doc(start[i])])
+            state = {"start": start.astype(np.uint32), "end": end.astype(np.uint32), "asking": i.astype(np.uint32), "at": at.astype(np.uint32), "place": place >> np.uint64(32) << np.uint64(32), "edge": edge}
+            return [(place, columns)], state
 
         kinds = ["<u8", "<u8"] if k == 0 else ["u6", "u6"]
         told = packed.route(ask_segments, lambda part, _, got: _refine(part, got), [[*kinds, "<i8", "u1"]], ["u6"], 0.5, f"level{k}")
-        rounds.append(told)
-
-    def ask_grams(ids, texts, row):
-        x = parse(ids, texts, row)
-        _, place, columns = x.anchors(x.starts(x.refined(row, rounds)[1]))
-        return [(place, columns)]
-
-    grams = packed.route(ask_grams, lambda part, _, got: mark_shared(got, 1), [["u6", "u1"]], ["u1"], 0.5, "grams")
-
-    def ask_halves(ids, texts, row):
-        x = parse(ids, texts, row)
-        _, _, place, columns = x.halves(x.candidates(row, rounds, grams)[1])
-        return [(place, columns)]
-
-    halves = packed.route(ask_halves, lambda part, _, got: name_shared(part, got, 2), [["<u8", "<u4", "u1"]], ["u6"], 0.8, "halves")
-
-    def ask_strings(ids, texts, row):
-        x = parse(ids, texts, row)
-        _, _, place, columns = x.strings(row, x.candidates(row, rounds, grams)[1], halves)
-        return [(place, columns[:3])]
+        if k:
+            packed.forget(f"level{k - 1}")
+
+    def ask_grams(batch, told=told):
+        x, before = Parsed(batch, depth), batch.state(f"level{levels - 1}")
+        hit = np.cumsum(x.settled(before, levels - 1, told(batch, before["place"])[0])[1][:-1]) > 0
+        return [(place, columns) for _, place, columns in x.both_anchors(x.open(hit))], {"hit": np.packbits(hit)}
+
+    grams = packed.route(ask_grams, lambda part, _, got: mark_shared(got, 1), [["u6", "u1"]] * 2, ["u1"] * 2, 0.8, "grams")
+    packed.forget(f"level{levels - 1}")
+
+    def ask_halves(batch):
+        x = Parsed(batch, depth)
+        hit = np.unpackbits(batch.state("grams")["hit"], count=x.n).astype(bool)
+        p = x.open(hit)
+        (at, place, _), (other_at, other_place, _) = x.both_anchors(p)
+        bits, other_bits = grams(batch, place, other_place)
+        p = p[(bits & 1 == 1)[at] & (other_bits & 1 == 1)[other_at]] if len(p) else p
+        _, _, place, columns = x.halves(p)
+        return [(place, columns)], {"hit": np.packbits(hit), "p": np.packbits(_marked(x.n, p))}
+
+    halves = packed.route(ask_halves, lambda part, _, got: name_shared(part, [[one, two >> np.uint32(1), (two & np.uint32(1)).astype(np.uint8)] for one, two in got], 2), [["<u8", "<u4"]], ["u6"], 0.8, "halves")
+    packed.forget("grams")
+
+    def ask_strings(batch):
+        """The buckets of strings: pairs of the buckets of both halves, where neither is alone."""
+        x, before = Parsed(batch, depth), batch.state("halves")
+        p = np.flatnonzero(np.unpackbits(before["p"], count=x.n))
+        where, at, place, _ = x.halves(p)  # less work than to put them aside
+        name = np.zeros(x.n + 1, dtype=np.uint64)
+        name[where] = halves(batch, place)[0][at]
+        one, two = name[p], name[p + depth - x.half]
+        ok = (one > 0) & (two > 0)
+        p = p[ok]
+        at, place, columns = x.keys(one[ok], two[ok], x.who[x.doc(p)])
+        return [(place, columns[:3])], {"hit": before["hit"], "p": np.packbits(_marked(x.n, p)), "at": at.astype(np.uint32), "place": place >> np.uint64(32) << np.uint64(32)}
 
-    strings = packed.route(ask_strings, lambda part, _, got: _smaller(got), [["u6", "u6", "<i8"]], ["u1"], 0.8, "strings")
+    strings = packed.route(ask_strings, lambda part, _, got: _smaller(got), [["u6", "u6", "<i8"]], ["u1"], 0.5, "strings")
+    packed.forget("halves")
 
-    def gone(ids: list, texts: list[bytes], row: dict) -> tuple[Parsed, np.ndarray]:
+    def gone(batch: Batch) -> tuple[Parsed, np.ndarray]:
         """Which bytes some removed string covers."""
-        x = parse(ids, texts, row)
-        hit, p = x.candidates(row, rounds, grams)
-        p, at, place, columns = x.strings(row, p, halves)
-        (bits,) = strings(row, place)
-        if len(p):
-            doc = np.searchsorted(x.begin, p, side="right") - 1
-            hit[p[(bits[at] == 1) | (columns[2][at] < x.who[doc])]] = True
-        hit[x.own :] = False
+        x, before = Parsed(batch, depth), batch.state("strings")
+        hit, p = (np.unpackbits(before[c], count=x.n).astype(bool) for c in ("hit", "p"))
+        p, at = np.flatnonzero(p), before["at"].astype(np.int64)
+        (bits,) = strings(batch, before["place"])
+        who = x.who[x.doc(p)]
+        hit[p[(bits[at] == 1) | (lowest(at, who, len(bits))[at] < who)]] = True
+        hit[batch.own :] = False
         p = np.flatnonzero(hit)
-        edge = np.zeros(len(hit) + 1, dtype=np.int64)
+        edge = np.zeros(x.n + 1, dtype=np.int64)
         edge[p] += 1
         edge[p + depth] -= 1
         return x, np.cumsum(edge[:-1]) > 0
@@ -322,16 +328,16 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "data"]
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, row in batch_rows(it):
-            x, mask = gone(ids, texts, row)
-            rows = [_kept(text, mask[x.begin[d] : x.begin[d + 1]]) for d, text in enumerate(texts)]
+        for batch in batch_rows(it):
+            x, mask = gone(batch)
+            rows = [_kept(text, mask[x.begin[d] : x.begin[d + 1]]) for d, text in enumerate(batch.texts)]
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=names)
 
     def finish_piece(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, row in batch_rows(it):
-            x, mask = gone(ids, texts, row)
-            columns = [pa.array([row["row"]], pa.int64()), pa.array([row["piece"]], pa.int32()), pa.array(ids, pa.int64()), pa.array([x.raw[: x.own]], pa.binary()), pa.array([np.packbits(mask).tobytes()], pa.binary())]
+        for batch in batch_rows(it):
+            _, mask = gone(batch)
+            columns = [pa.array([batch.row["row"]], pa.int64()), pa.array([batch.piece], pa.int32()), pa.array(batch.ids, pa.int64()), pa.array([batch.raw[: batch.own]], pa.binary()), pa.array([np.packbits(mask).tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "piece", "doc_id", "data", "mask"])
 
     def whole(table: pa.Table) -> pa.Table:

@@ -109,10 +109,10 @@ def test_decontamination(spark, docs, rows):
                     hit.update(range(k, k + len(x)))
                     found |= who
         expected[i] = (len(w), len(hit), sorted(found))
-    for size in (1 << 20, 50):  # one block of items, and several
-        got = by_id(decontaminate.decontaminate(docs, bench, block_bytes=size))
+    for size in (1 << 20, 30):  # one automaton, and several
+        got = by_id(decontaminate.decontaminate(docs, bench, nodes=size))
         assert {i: (r["n_words"], r["n_hit"], sorted(r["items"])) for i, r in got.items()} == expected
-        kept = decontaminate.clean(docs, bench, block_bytes=size)
+        kept = decontaminate.clean(docs, bench, nodes=size)
         assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in expected.items() if not x[1]}
 
 
@@ -127,7 +127,8 @@ def test_token_shards(spark, docs, rows):
         at += len(ids)
     some = spark.createDataFrame(more, SCHEMA)
     folder = tokens.new_folder(some)
-    got = tokens.read_shards(tokens.write_shards(some, P.path("word_bpe_49k.json"), folder), folder).collect()
+    tokens.write_shards(some, P.path("word_bpe_49k.json"), folder)
+    got = tokens.read_shards(spark, folder).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expected
 
 
@@ -291,9 +292,10 @@ def test_empty_tables(spark, docs):
     path = P.path("byte_bpe_50k.tiktoken")
     folder = tokens.new_folder(none)
     bench = spark.createDataFrame([], "item_id long, text string")
+    tokens.write_shards(none, P.path("word_bpe_49k.json"), folder)
     for out in (
         minhash.near_duplicates(none), decontaminate.decontaminate(none, bench), decontaminate.decontaminate(docs, bench).where("n_hit > 0"), repeats.dedup_repeats(none), suffixes.dedup_suffixes(none), lines.dedup_lines(none),
-        quality.judge(none, None), bpe.encode(none, path, P.PATTERN), tokens.read_shards(tokens.write_shards(none, P.path("word_bpe_49k.json"), folder), folder),
+        quality.judge(none, None), bpe.encode(none, path, P.PATTERN), tokens.read_shards(spark, folder), bpe.digests(none, path, P.PATTERN), quality.keep(none, None), decontaminate.clean(none, bench), lines.with_unique_lines(none),
         urls.judge(spark.createDataFrame([], "page_id long, url string")), html.extract(spark.createDataFrame([], "page_id long, url string, html string")),
     ):
         assert out.count() == 0
