@@ -47,11 +47,23 @@ def center_crop(c: Column, n: int) -> Column:
 
 
 def flux(c: Column) -> Column:
-    """First differences along the series."""
-    return F.zip_with(F.slice(c, F.lit(2), F.size(c) - 1), F.slice(c, F.lit(1), F.size(c) - 1), lambda b, a: b - a)
+    """First differences along the series; fewer than two values have none."""
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    return F.zip_with(F.slice(c, F.lit(2), n), F.slice(c, F.lit(1), n), lambda b, a: b - a)
 
 
 def second_peak(c: Column, reach: int = 5) -> Column:
     """The largest value more than ``reach`` places from the first largest."""
     at = F.array_position(c, F.array_max(c)) - 1
     return F.array_max(F.transform(c, lambda x, i: F.when(F.abs(i - at) <= reach, F.lit(0.0)).otherwise(x)))
+
+
+def low_share(c: Column) -> Column:
+    """The share of values below their mean."""
+    m = mean(c)
+    return F.size(F.filter(c, lambda x: x < m)) / F.size(c)
+
+
+def fuse(*vectors: Column, digits: int = 8) -> Column:
+    """Normalised vectors end to end, rounded."""
+    return F.transform(F.concat(*map(l2_normalize, vectors)), lambda x: F.round(x, digits))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vectors as V
-from tessera.operators.distances import knn, label_sums
+from tessera.operators.distances import extremes, knn, label_sums, ranks
 
 
 def centroids(points: DataFrame) -> DataFrame:
@@ -22,10 +22,15 @@ def centroid_distances(points: DataFrame) -> DataFrame:
     return points.join(centroids(points), "label").select("id", "label", V.distance(F.col("v"), F.col("centroid")).alias("distance"))
 
 
-def nearest_centroid(points: DataFrame, centers: DataFrame, most: int = 10_000) -> DataFrame:
-    """Arg-min over a bounded set of centroids; the set's size is checked before it is broadcast."""
+#: Centroids that are broadcast, at most; more of them are blocks of a join.
+CENTROIDS = 10_000
+
+
+def nearest_centroid(points: DataFrame, centers: DataFrame, most: int = CENTROIDS) -> DataFrame:
+    """Arg-min over the centroids, ties by label: they are broadcast if there are few, else it is a block join."""
     if centers.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centroids")
+        near = knn(points, centers.select(F.col("label").alias("id"), F.col("centroid").alias("v")), 1, keep_self=True)
+        return near.select("id", F.col("neighbor").alias("label"), "distance")
     packed = centers.select("label", "centroid").agg(F.collect_list(F.struct("label", "centroid")).alias("all"))
     scored = points.select("id", "v").join(F.broadcast(packed)).select("id", F.array_min(F.transform("all", lambda c: F.struct(V.distance(F.col("v"), c["centroid"]).alias("d"), c["label"].alias("label")))).alias("best"))
     return scored.select("id", F.col("best.label").alias("label"), F.col("best.d").alias("distance"))
@@ -64,9 +69,15 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
 
 
 def dunn(points: DataFrame) -> DataFrame:
-    s = label_sums(points.where("label != -1"))
-    ends = s.agg(F.min(F.when(F.col("own") != F.col("label"), F.col("min_d"))).alias("gap"), F.max(F.when(F.col("own") == F.col("label"), F.col("max_d"))).alias("diameter"))
-    return ends.select(F.when((F.col("diameter") > 0) & (F.col("gap") > 0), F.col("gap") / F.col("diameter")).alias("dunn"))
+    """Smallest distance between clusters over the largest within one; label -1 is noise.
+
+    Null with fewer than two clusters, fewer points than twice the clusters, or an extreme that is not positive.
+    """
+    inliers = points.where("label != -1")
+    size = inliers.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("k"))
+    ends = extremes(inliers).agg(F.min(F.when(F.col("a") != F.col("b"), F.col("min_d"))).alias("gap"), F.max(F.when(F.col("a") == F.col("b"), F.col("max_d"))).alias("diameter"))
+    ok = (F.col("k") >= 2) & (F.col("n") >= 2 * F.col("k")) & (F.col("diameter") > 0) & (F.col("gap") > 0)
+    return ends.join(F.broadcast(size)).select(F.when(ok, F.col("gap") / F.col("diameter")).alias("dunn"))
 
 
 def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -91,11 +102,60 @@ def lof(points: DataFrame, k: int = 20) -> DataFrame:
     return around.join(lrd, "id").select("id", (F.col("other") / F.col("lrd")).alias("lof"))
 
 
-def trustworthiness(high: DataFrame, low: DataFrame, n: int, k: int = 10) -> DataFrame:
-    """One row; ``high`` and ``low`` hold the same ids with their vectors in either space."""
-    ranks = knn(high, high, n - 1).select("id", "neighbor", F.col("rank").alias("high_rank"))
-    lost = knn(low, low, k).select("id", "neighbor").join(ranks, ["id", "neighbor"])
-    return lost.agg((1 - 2.0 / (n * k * (2.0 * n - 3 * k - 1)) * F.sum(F.greatest(F.col("high_rank") - k, F.lit(0)))).alias("trustworthiness"))
+def lof_inliers(points: DataFrame, k: int = 20, contamination: float = 0.05, least: int = 10) -> DataFrame:
+    """``id, inlier``: the rows whose factor is among the largest ``contamination`` are out; all stay if that leaves fewer than ``least``."""
+    scores = lof(points, k)
+    bound = scores.agg(F.percentile(-F.col("lof"), contamination).alias("bound"))
+    marked = scores.join(F.broadcast(bound)).select("id", (-F.col("lof") >= F.col("bound")).alias("inlier"))
+    few = marked.agg((F.count_if("inlier") < least).alias("few"))
+    return marked.join(F.broadcast(few)).select("id", (F.col("inlier") | F.col("few")).alias("inlier"))
+
+
+def trustworthiness(high: DataFrame, low: DataFrame, k: int = 10) -> DataFrame:
+    """One row; ``high`` and ``low`` hold the same ids with their vectors in either space; ``k`` is clamped to ``2 .. n // 2 - 1``."""
+    n = high.count()
+    k = max(2, min(k, n // 2 - 1))
+    far = ranks(high, knn(low, low, k, n=n)).where(F.col("rank") > k)
+    return far.agg((1 - 2.0 / (n * k * (2.0 * n - 3 * k - 1)) * F.coalesce(F.sum(F.col("rank") - k), F.lit(0))).alias("trustworthiness"))
+
+
+def noise_reassigned(points: DataFrame, noise: int = -1) -> DataFrame:
+    """``id, label, new_label, confidence, outlier_score``: noise goes to the nearest centroid of the clusters.
+
+    Confidence is 1 for clustered points, else ``1 - d / p95`` between 0 and 1, where p95 is that of all
+    clustered points' distances to their centroid; without clusters nothing changes.
+    """
+    clustered = points.where(F.col("label") != noise)
+    centers = centroids(clustered)
+    p95 = centroid_distances(clustered).agg(F.percentile("distance", 0.95).alias("p95"))
+    near = nearest_centroid(points.where(F.col("label") == noise), centers).select("id", F.col("label").alias("nearest"), "distance")
+    trust = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance") / (F.col("p95") + 1e-12)))
+    out = points.select("id", "label").join(near, "id", "left").join(F.broadcast(p95))
+    out = out.select("id", "label", F.coalesce("nearest", "label").alias("new_label"), F.when(F.col("label") != noise, 1.0).when(F.col("nearest").isNull(), 0.0).otherwise(trust).alias("confidence"))
+    return out.withColumn("outlier_score", 1 - F.col("confidence"))
+
+
+def soft_silhouette(points: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row: silhouettes weighted by ``weights`` (``id, weight``); a single label or no weight at all is -1."""
+    s = silhouette(points).join(weights, "id")
+    got = s.agg(F.count_distinct("label").alias("k"), F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("silhouette")).alias("ws"))
+    return got.select(F.when((F.col("k") > 1) & (F.col("w") > 0), F.col("ws") / F.col("w")).otherwise(-1.0).alias("soft_silhouette"))
+
+
+def memberships(points: DataFrame, centers: DataFrame) -> DataFrame:
+    """``id, p``: shares of the centers by label order, from a softmax of minus the distance; the centers must fit a broadcast."""
+    if centers.limit(CENTROIDS + 1).count() > CENTROIDS:
+        raise ValueError(f"more than {CENTROIDS} components")
+    packed = centers.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("all"))
+    e = points.select("id", "v").join(F.broadcast(packed)).select("id", F.transform("all", lambda c: F.exp(-V.distance(F.col("v"), c["centroid"]))).alias("e"))
+    total = V.total(F.col("e"))
+    return e.select("id", F.transform("e", lambda x: x / total).alias("p"))
+
+
+def entropy(shares: DataFrame) -> DataFrame:
+    """``id, confidence, entropy``: the largest share, and the entropy of all of them."""
+    h = -V.total(F.transform("p", lambda x: x * F.log(F.greatest(x, F.lit(1e-12)))))
+    return shares.select("id", F.array_max("p").alias("confidence"), h.alias("entropy"))
 
 
 def profile(points: DataFrame) -> DataFrame:

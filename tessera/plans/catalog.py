@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import clustering, distances, validity
+from tessera.plans.registry import QUERIES, SQL, query, table, vectors
 from tessera.streaming import state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"), "label")
-
-
 # scans, projections, filters
 
 
@@ -50,112 +27,14 @@ def prefix_projection(spark, sf):
     return rows.select(*keep)
 
 
-@query("SELECT event_id, CASE WHEN lower(event_type) IN ('none','nan','null','') THEN '' ELSE event_type END AS cleaned FROM events")
-def null_token_clean(spark, sf):
-    return table(spark, sf, "events").select("event_id", T.clean_optional_text(F.col("event_type")).alias("cleaned"))
-
-
-@query("SELECT count(*) AS n, count(try_cast(p_type AS DOUBLE)) AS numeric_types, count(try_cast(CAST(p_size AS VARCHAR) AS DOUBLE)) AS numeric_sizes FROM part")
-def numeric_coerce(spark, sf):
-    return table(spark, sf, "part").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.expr("try_cast(p_type as double)")).alias("numeric_types"), F.count(F.expr("try_cast(cast(p_size as string) as double)")).alias("numeric_sizes")
-    )
-
-
-@query("SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL")
-def finite_rows(spark, sf):
-    ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors(spark, sf).where(ok).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus='F' THEN 'done' WHEN o_orderstatus='O' THEN 'open' ELSE 'other' END AS state FROM orders")
-def state_case(spark, sf):
-    s = F.col("o_orderstatus")
-    return table(spark, sf, "orders").select("o_orderkey", F.when(s == "F", "done").when(s == "O", "open").otherwise("other").alias("state"))
-
-
 # text
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(text),'&',' and '),'_',' '),'\([^)]*\)',' ','g'),'\[[^\]]*\]',' ','g'),'[^a-z0-9]+',' ','g')) AS normalized FROM documents")
-def normalize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.normalize_search_text(F.col("text")).alias("normalized"))
-
-
-@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(concat(p_name,' (Live Mix) [x] - '),'\([^)]*\b(version|mix|remaster|live|edit|mono|stereo|album|explicit|clean|instrumental|demo)\b[^)]*\)',' ','gi'),'\[[^\]]*\]',' ','g'),' +',' ','g'),' -') AS title FROM part")
-def clean_title(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.clean_title(F.concat("p_name", F.lit(" (Live Mix) [x] - "))).alias("title"))
-
-
-@query(r"SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(concat(s_name,' feat. Other (x)'),'\b(feat(uring)?\.?|ft\.?|with)\b.*$',' ','i'),'\([^)]*\)',' ','g'),' +',' ','g'),' -') AS artist FROM supplier")
-def clean_artist(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", T.clean_artist(F.concat("s_name", F.lit(" feat. Other (x)"))).alias("artist"))
-
-
-@query(r"""SELECT page_id, regexp_replace(url,'[<>:"/\\|?*]','_','g') AS name FROM pages""")
-def filename_sanitize(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.sanitize_filename(F.col("url")).alias("name"))
-
-
 @query(r"SELECT page_id, regexp_extract(url,'/([0-9]+)',1) AS number FROM pages")
 def id_extract(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).alias("number"))
 
 
-_OVERLAP = """WITH d AS (SELECT p_partkey AS id, lower(p_name) AS t, list_distinct(string_split(lower(p_name),' ')) AS w FROM part),
-p AS (SELECT a.id AS a, b.id AS b, a.t AS t1, b.t AS t2, a.w AS aw, b.w AS bw FROM d a JOIN d b ON b.id = a.id + 1)"""
-
-
-def _neighbors(spark, sf) -> DataFrame:
-    d = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), F.lower("p_name").alias("at"))
-    return d.join(d.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("at").alias("bt")), "a")
-
-
-@query(_OVERLAP + " SELECT a, b, round(len(list_intersect(aw,bw))::DOUBLE/len(aw),6) AS overlap FROM p")
-def token_overlap(spark, sf):
-    return _neighbors(spark, sf).select("a", "b", F.round(T.token_overlap(F.col("at"), F.col("bt")), 6).alias("overlap"))
-
-
-@query(_OVERLAP + " SELECT a, b, t1<>'' AND t2<>'' AND (contains(t1,t2) OR contains(t2,t1)) AS exactish FROM p")
-def exactish_flags(spark, sf):
-    return _neighbors(spark, sf).select("a", "b", T.exactish(F.col("at"), F.col("bt")).alias("exactish"))
-
-
-def _scored(spark, sf) -> DataFrame:
-    """Parts matched to parts of the same brand and size: a blocked candidate join."""
-    p = table(spark, sf, "part").select("p_brand", "p_size", F.col("p_partkey").alias("id"), F.lower("p_name").alias("t"), F.lower("p_type").alias("u"), "p_retailprice")
-    q = p.select("p_brand", "p_size", F.col("id").alias("other"), F.col("t").alias("t2"), F.col("u").alias("u2"), F.col("p_retailprice").alias("price2"))
-    m = p.join(q, ["p_brand", "p_size"]).where("id != other").withColumn("delta", F.abs(F.col("p_retailprice") - F.col("price2")))
-    args = T.exactish(F.col("t"), F.col("t2")), T.exactish(F.col("u"), F.col("u2")), T.token_overlap(F.col("t"), F.col("t2")), T.token_overlap(F.col("u"), F.col("u2"))
-    score = T.candidate_score(*args, F.col("other") % 2 == 0, F.col("delta"))
-    return m.select("id", "other", F.round(score, 6).alias("score"), T.confident(*args, F.col("u") == "", F.col("delta")).alias("confident"))
-
-
-_SCORED = """WITH p AS (SELECT p_brand, p_size, p_partkey AS id, lower(p_name) AS t, lower(p_type) AS u, p_retailprice AS c FROM part),
-m AS (SELECT a.id, b.id AS other, abs(a.c-b.c) AS delta, a.u AS u, (contains(a.t,b.t) OR contains(b.t,a.t)) AS te, (contains(a.u,b.u) OR contains(b.u,a.u)) AS ae,
-len(list_intersect(list_distinct(string_split(a.t,' ')),list_distinct(string_split(b.t,' '))))::DOUBLE/len(list_distinct(string_split(a.t,' '))) AS tov,
-len(list_intersect(list_distinct(string_split(a.u,' ')),list_distinct(string_split(b.u,' '))))::DOUBLE/len(list_distinct(string_split(a.u,' '))) AS aov
-FROM p a JOIN p b ON a.p_brand=b.p_brand AND a.p_size=b.p_size AND a.id<>b.id),
-s AS (SELECT id, other, round(4.0::DOUBLE*te::INT + 3.0::DOUBLE*ae::INT + 3.0::DOUBLE*tov + 2.5::DOUBLE*aov + CASE WHEN other%2=0 THEN 1.0::DOUBLE ELSE -5.0::DOUBLE END + CASE WHEN delta<=5 THEN 2.0::DOUBLE WHEN delta<=10 THEN 1.0::DOUBLE WHEN delta>=30 THEN -4.0::DOUBLE WHEN delta>=20 THEN -2.0::DOUBLE ELSE 0.0::DOUBLE END,6) AS score,
-(delta<=30) AND ((te AND (ae OR aov>=0.5)) OR (tov>=0.75 AND (u='' OR aov>=0.6))) AND delta<=12 AS confident FROM m)"""
-
-
-@query(_SCORED + " SELECT id, other, score FROM s")
-def candidate_score(spark, sf):
-    return _scored(spark, sf).select("id", "other", "score")
-
-
-@query(_SCORED + " SELECT id, other, confident FROM s")
-def confident_match(spark, sf):
-    return _scored(spark, sf).select("id", "other", "confident")
-
-
-@query(_SCORED + " SELECT id, other, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS n FROM s) WHERE n = 1")
-def best_match_top1(spark, sf):
-    best = F.max_by(F.struct("other", "score"), F.struct("score", -F.col("other")))
-    return _scored(spark, sf).groupBy("id").agg(best.alias("m")).select("id", "m.other", "m.score")
-
-
 @query("SELECT o_orderkey, rtrim(rtrim(printf('%.6f', o_totalprice),'0'),'.') AS price FROM orders")
 def format_scalar(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.format_scalar(F.col("o_totalprice")).alias("price"))
@@ -202,14 +81,6 @@ def first_wins_dedupe(spark, sf):
     return first.select("event_id", "user_id")
 
 
-@query("SELECT user_id, event_type, max(value) AS value FROM events GROUP BY user_id, event_type")
-def shard_merge(spark, sf):
-    e = table(spark, sf, "events")
-    shards = [e.where(F.col("event_id") % 3 == i) for i in range(3)]
-    both = shards[0].unionByName(shards[1]).unionByName(shards[2])
-    return both.groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
-
-
 @query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
 def all_models_present(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_type").distinct()
@@ -346,12 +217,6 @@ def vector_norm(spark, sf):
     return vectors(spark, sf).select("id", F.round(V.norm(F.col("v")), 6).alias("norm"))
 
 
-@query(_E + ", n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x*x))) AS s FROM e) SELECT id, round(v[1]/s,6) AS first, round(v[64]/s,6) AS last FROM n")
-def l2_normalize(spark, sf):
-    u = V.l2_normalize(F.col("v"))
-    return vectors(spark, sf).withColumn("u", u).select("id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.get("u", F.lit(63)), 6).alias("last"))
-
-
 @query(_E + " SELECT id, round(list_avg(v),6) AS mean, round(sqrt(list_avg(list_transform(v, lambda x: x*x)) - list_avg(v)*list_avg(v)),6) AS std FROM e")
 def series_mean_std(spark, sf):
     return vectors(spark, sf).select("id", F.round(V.mean(F.col("v")), 6).alias("mean"), F.round(V.std_pop(F.col("v")), 6).alias("std"))
@@ -385,20 +250,6 @@ def knn_exact(spark, sf):
     return distances.knn(x, x, 5).select("id", "neighbor", F.round("distance", 6).alias("distance"), "rank")
 
 
-def recommend(points: DataFrame, k: int = 5, pool: int = 100) -> DataFrame:
-    """``id, neighbor, place``: from the nearest ``pool``, those of the same label by distance, then the others by distance."""
-    near = distances.knn(points, points, pool)
-    near = near.join(points.select("id", F.col("label").alias("own")), "id").join(points.select(F.col("id").alias("neighbor"), F.col("label").alias("other")), "neighbor")
-    tier = F.when(F.col("own") == F.col("other"), 0).otherwise(1)
-    w = Window.partitionBy("id").orderBy(tier, "distance", "neighbor")
-    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("id", "neighbor", "place")
-
-
-@query(_KNN + " SELECT id, neighbor, CAST(place AS INTEGER) AS place FROM (SELECT id, neighbor, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN own=other THEN 0 ELSE 1 END, d, neighbor) AS place FROM k WHERE rank<=100) WHERE place<=5")
-def recommend_topk(spark, sf):
-    return recommend(vectors(spark, sf))
-
-
 @query(_KNN + ", m AS (SELECT id, own, other, avg(d) AS m FROM q GROUP BY ALL), s AS (SELECT id, own AS label, max(CASE WHEN own=other THEN m END) AS a, min(CASE WHEN own<>other THEN m END) AS b FROM m GROUP BY id, own) SELECT id, label, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b-a)/greatest(a,b) END,6) AS silhouette FROM s")
 def silhouette(spark, sf):
     return validity.silhouette(vectors(spark, sf)).select("id", "label", F.round("silhouette", 6).alias("silhouette"))
@@ -430,16 +281,6 @@ def adjusted_rand(spark, sf):
     return validity.adjusted_rand(pairs, "label", "b").select(F.round("ari", 6).alias("ari"))
 
 
-# state
-
-
-@query("SELECT user_id, CASE event_type WHEN 'purchase' THEN 'downloaded' WHEN 'view' THEN 'no_match' ELSE 'retryable' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n=1")
-def stream_state_latest(spark, sf):
-    last = state.latest(table(spark, sf, "events"), "user_id", ["ts", "event_id"])
-    status = F.when(F.col("event_type") == "purchase", "downloaded").when(F.col("event_type") == "view", "no_match").otherwise("failed")
-    return last.select("user_id", state.state_of(status).alias("state"))
-
-
 # grids: rows only, tested against properties
 
 
@@ -472,3 +313,9 @@ def hdbscan_grid(spark, sf):
 def gmm_grid(spark, sf):
     return clustering.mixture_grid(vectors(spark, sf), [5, 10], [0.01, 1.0])
 
+
+from tessera.plans import modelling, resolution, selection  # noqa: E402, F401  (they register their queries)
+
+recommend_topk = modelling.recommend_topk
+
+__all__ = ["QUERIES", "SQL", "recommend_topk"]

@@ -96,13 +96,13 @@ def test_grids_have_no_cap_on_rows(spark):
     assert (got["clusters"], got["noise"]) == (label.max() + 1, (label < 0).sum())
 
 
-def test_csv_and_staged_writes(spark, tmp_path):
+def test_csv_and_versioned_writes(spark, tmp_path):
     assert io.read_csv(spark, str(tmp_path / "none.csv"), ["a"]).count() == 0
     (tmp_path / "a.csv").write_text("a,x\n1,2\n,3\n")
     assert [tuple(r) for r in io.read_csv(spark, str(tmp_path / "a.csv"), ["a", "b"]).collect()] == [("1", ""), ("", "")]
     for n in (3, 5):
-        io.write_staged(spark.range(n), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+        io.write_versioned(spark.range(n), str(tmp_path / "out"))
+    assert io.read_version(spark, str(tmp_path / "out")).count() == 5 and len(io.versions(spark, str(tmp_path / "out"))) == 2
 
 
 def test_stream_counts_all_there_is(spark, tmp_path):
