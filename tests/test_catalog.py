@@ -6,7 +6,10 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.operators import clustering
+from pyspark.sql import functions as F
+
+from tessera.functions import vectors as V
+from tessera.operators import clustering, distances, linear, validity
 from tessera.plans import catalog
 from tessera.sources import io
 from tessera.streaming import state
@@ -109,3 +112,84 @@ def test_stream_counts_all_there_is(spark, tmp_path):
     spark.range(100).selectExpr("id % 4 as k").write.parquet(str(tmp_path / "in"))
     got = state.available_now_counts(spark, str(tmp_path / "in"), "k long", "k", str(tmp_path / "cp"), "counts")
     assert {r["k"]: r["n"] for r in got.collect()} == {k: 25 for k in range(4)}
+
+
+def test_tolerant_sources(spark, tmp_path):
+    """JSON maps, array blobs, audio listings, run results by path, and feature folders; what cannot be read is left out."""
+    (tmp_path / "cache.json").write_text('{"a": "1", "b": "x"}')
+    (tmp_path / "broken.json").write_text('{"a": ')
+    got = {n: sorted(tuple(r) for r in io.read_json_map(spark, str(tmp_path / n)).collect()) for n in ("cache.json", "broken.json", "none.json")}
+    assert got == {"cache.json": [("a", "1"), ("b", "x")], "broken.json": [], "none.json": []}
+    raw = tmp_path / "features" / "raw"
+    raw.mkdir(parents=True)
+    np.savez(raw / "one.npz", v=np.arange(3.0))
+    (raw / "two.npz").write_bytes(b"no zip")
+    want = [("one", "v", [0.0, 1.0, 2.0])]
+    assert [tuple(r) for r in io.resolve_features(spark, str(tmp_path / "features")).collect()] == want
+    with pytest.raises(FileNotFoundError):
+        io.resolve_features(spark, str(tmp_path / "nothing"))
+    audio = tmp_path / "audio"
+    audio.mkdir()
+    for name in ("a.wav", "a.mp3", "b.flac", "c.txt"):
+        (audio / name).write_bytes(b"x")
+    assert sorted((r["stem"], r["path"][-3:]) for r in io.audio_files(spark, str(audio)).collect()) == [("a", "mp3"), ("b", "lac")]
+    for source, algorithm in (("x", "kmeans"), ("y", "gmm")):
+        (tmp_path / "runs" / source / algorithm).mkdir(parents=True)
+        (tmp_path / "runs" / source / algorithm / "run.json").write_text('{"k": 3}')
+    runs = io.read_partitioned(spark, str(tmp_path / "runs"), "*/*/run.json", ["source", "algorithm"]).collect()
+    assert sorted((r["k"], r["source"], r["algorithm"]) for r in runs) == [(3, "x", "kmeans"), (3, "y", "gmm")]
+
+
+def test_sinks(spark, tmp_path):
+    frames = {"a": spark.range(3), "b": spark.range(4)}
+    io.write_together(frames, str(tmp_path / "pair"))
+    assert [io.read_version(spark, str(tmp_path / "pair"), n).count() for n in ("a", "b")] == [3, 4]
+    assert io.inside("/root/x/../x/y", "/root/x") == "/root/x/y"
+    with pytest.raises(ValueError):
+        io.inside("/root/x/../y", "/root/x")
+    rows = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [3.0, 4.0])], "file string, v array<double>")
+    io.write_wide_csv(rows, str(tmp_path / "wide"), "v", "m")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "wide")).orderBy("file").collect()] == [("a", "3.0", "4.0"), ("b", "1.0", "2.0")]
+    assert io.markdown(spark.createDataFrame([(1, None)], "a int, b string")) == "| a | b |\n| --- | --- |\n| 1 |  |"
+    with pytest.raises(ValueError):
+        io.markdown(spark.range(20), 5)
+
+
+def test_empty_vectors_and_few_points(spark):
+    rows = spark.createDataFrame([(1, []), (2, [1.0]), (3, [1.0, 4.0])], "id long, v array<double>")
+    assert {r["id"]: r["d"] for r in rows.select("id", V.flux(F.col("v")).alias("d")).collect()} == {1: [], 2: [], 3: [3.0]}
+    points = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 0), (3, [5.0], 1), (4, [9.0], -1)], "id long, v array<double>, label int")
+    assert validity.dunn(points).first()["dunn"] is None  # three points, two clusters
+    more = points.union(spark.createDataFrame([(5, [5.5], 1)], points.schema))
+    assert validity.dunn(more).first()["dunn"] == 4.0
+
+
+def test_components_against_numpy(spark):
+    x = np.random.default_rng(6).normal(size=(300, 5)) @ np.diag([5, 3, 1, 0.1, 0.01])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    mean, axes, shares = linear.components(points)
+    values = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+    assert np.allclose(shares, values / values.sum()) and linear.choose(shares) == 3 and linear.choose(np.array([1.0])) == 1
+    got = {r["id"]: r["v"] for r in linear.projected(points, mean, axes[:2]).collect()}
+    assert np.allclose([got[i] for i in range(300)], (x - x.mean(axis=0)) @ axes[:2].T)
+
+
+def test_block_joins_over_several_groups(spark, monkeypatch):
+    """Neighbours, sums and ranks do not depend on how points are dealt; ties go by id."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(700, 3)), 1)
+    points = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<double>, label int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    monkeypatch.setattr(distances, "_groups", lambda spark, n: 3)
+    want = {i: [j for j in np.lexsort((np.arange(700), d[i])) if j != i][:4] for i in range(700)}
+    got = {}
+    for r in distances.knn(points, points, 4).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert got == want
+    sums = {(r["id"], r["label"]): (r["n"], r["sum_d"]) for r in distances.label_sums(points).collect()}
+    assert all(n == (np.arange(700) % 3 == b).sum() - (i % 3 == b) and math.isclose(s, d[i, np.arange(700) % 3 == b].sum(), rel_tol=1e-6) for (i, b), (n, s) in sums.items())
+    near = distances.knn_lsh(points, points, 4, 3, length=2.0)
+    found = {}
+    for r in near.collect():
+        found.setdefault(r["id"], set()).add(round(r["distance"], 6))
+    assert sum(len(found.get(i, set()) & {round(d[i, j], 6) for j in want[i]}) for i in range(700)) / sum(len({round(d[i, j], 6) for j in want[i]}) for i in range(700)) > 0.9
