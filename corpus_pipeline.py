@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages, each over all that the one before it kept."""
+"""A corpus pipeline of five stages, each over all that the one before it kept.
+
+Cases, in every stage: an empty table stays empty; other columns, whatever their names, come through as
+they are; rows with a null or repeated id are rows like others; a null or empty text fails the quality
+rules, and where a stage gets one all the same it has one empty line, no near-duplicates, no benchmark
+words and no ids; of equal rows the near-duplicate stage keeps one; very long texts are worked on whole.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, lines, minhash, quality
 from tessera.llm.queries import bpe_digests
-from tessera.llm.shared import durable
+from tessera.llm.shared import durable, workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        with workspace():
+            docs = durable(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
