@@ -105,12 +105,14 @@ def workspace() -> Iterator[None]:
 def free(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of rounds whose results are durable; it acts when the driver's JVM collects garbage.
 
-    The scheduler's threads hold on to the last job that they saw, so a job of nothing goes first.
+    The scheduler's threads hold on to the last job that they saw, so a job of nothing goes first; and what
+    one collection frees may hold on to more.
     """
-    gc.collect()
-    spark.sparkContext._jsc.sc().range(0, 1, 1, 1).count()
-    spark.sparkContext._jvm.java.lang.System.gc()
-    time.sleep(0.3)  # the cleaner works beside
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jsc.sc().range(0, 1, 1, 1).count()
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.3)  # the cleaner works beside
 
 
 def parts_for(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:
