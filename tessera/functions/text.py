@@ -169,12 +169,22 @@ def duration_text(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%dh%02dm%02ds", h, m, r)).when(m > 0, F.format_string("%dm%02ds", m, r)).otherwise(F.format_string("%ds", r))
 
 
-def human_size(n: Column) -> Column:
-    """Bytes in the largest unit that leaves one or more."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
-    for k, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / 1024.0**k)).otherwise(out)
-    return F.when(n < 1024, F.format_string("%d B", n)).otherwise(out)
+def human_size(n: Column, largest: str = "TB") -> Column:
+    """Bytes in the largest unit, up to ``largest``, that leaves one or more; ties between tenths go to the even one."""
+    units = ["B", "KB", "MB", "GB", "TB"]
+    units = units[: units.index(largest) + 1]
+    whole = n.cast("double").cast("long")
+    out = F.format_string("%d B", n)
+    for k, unit in list(enumerate(units))[1:]:
+        # exact in integers: a formatter that rounds halves up differs
+        bits = 10 * k
+        rest = whole.bitwiseAND(F.lit((1 << bits) - 1)) * 10
+        tenths = F.shiftright(whole, bits) * 10 + F.shiftright(rest, bits)
+        over, half = rest.bitwiseAND(F.lit((1 << bits) - 1)), 1 << (bits - 1)
+        tenths = tenths + F.when((over > half) | ((over == half) & (tenths % 2 == 1)), 1).otherwise(0)
+        text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = F.when(n >= 1 << bits, text).otherwise(out)
+    return out
 
 
 def join_tag_counts(tags: Column, counts: Column) -> Column:

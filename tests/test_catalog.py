@@ -8,6 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import clustering, distances, linear, validity
 from tessera.plans import catalog
@@ -193,3 +194,17 @@ def test_block_joins_over_several_groups(spark, monkeypatch):
     for r in near.collect():
         found.setdefault(r["id"], set()).add(round(r["distance"], 6))
     assert sum(len(found.get(i, set()) & {round(d[i, j], 6) for j in want[i]}) for i in range(700)) / sum(len({round(d[i, j], 6) for j in want[i]}) for i in range(700)) > 0.9
+
+
+def test_sizes_and_their_units(spark):
+    """Python's text of exact tenths, halves to the even one; the query's SQL has no unit above GB."""
+    rng = np.random.default_rng(9)
+    sizes = [0, 1023, 1024, 614_656, 1_048_575, 1_048_576, 2**40 - 1, 2**40, 2**53 + 1, 2**62]
+    sizes += [int(x * 2**k) for k in (10, 20, 30, 40) for x in (1.25, 1.35, 1.75, 7.05, 1023.25, 1023.75, 1023.95)] + [int(2**x) for x in rng.uniform(0, 60, 300)]
+
+    def text(n, units):
+        k = next((i for i in range(len(units)) if n < 1024 ** (i + 1)), len(units) - 1)
+        return f"{n} B" if k == 0 else f"{float(n) / 1024**k:.1f} {units[k]}"
+
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", T.human_size(F.col("n")).alias("tb"), T.human_size(F.col("n"), largest="GB").alias("gb"))
+    assert [(r["tb"], r["gb"]) for r in rows.collect()] == [(text(n, ["B", "KB", "MB", "GB", "TB"]), text(n, ["B", "KB", "MB", "GB"])) for n in sizes]
