@@ -28,6 +28,17 @@ def l2_normalize(c: Column) -> Column:
     return F.when(n < 1e-10, c).otherwise(F.transform(c, lambda x: x / n))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Values to so many decimals as SQL's round has them: scaled, halves away from zero, and what was negative keeps its sign at zero."""
+
+    def one(x: Column) -> Column:
+        y = x * 10.0**digits
+        whole = F.when(F.abs(y - F.rint(y)) == 0.5, y + 0.5 * F.signum(y)).otherwise(F.rint(y))
+        return F.when(F.abs(y) < float("inf"), whole / 10.0**digits).otherwise(x)
+
+    return F.transform(c, one)
+
+
 def mean(c: Column) -> Column:
     return total(c) / F.size(c)
 
@@ -66,4 +77,4 @@ def low_share(c: Column) -> Column:
 
 def fuse(*vectors: Column, digits: int = 8) -> Column:
     """Normalised vectors end to end, rounded."""
-    return F.transform(F.concat(*map(l2_normalize, vectors)), lambda x: F.round(x, digits))
+    return rounded(F.concat(*map(l2_normalize, vectors)), digits)

@@ -4,6 +4,8 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
@@ -208,3 +210,29 @@ def test_sizes_and_their_units(spark):
 
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", T.human_size(F.col("n")).alias("tb"), T.human_size(F.col("n"), largest="GB").alias("gb"))
     assert [(r["tb"], r["gb"]) for r in rows.collect()] == [(text(n, ["B", "KB", "MB", "GB", "TB"]), text(n, ["B", "KB", "MB", "GB"])) for n in sizes]
+
+
+@pytest.fixture(scope="module")
+def small(tmp_path_factory):
+    """Vectors with values that round to a zero with a sign, and halves."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(200, 64)) * 0.05
+    x[:, 3], x[:, 5], x[:, 20], x[:, 21] = -1e-9, 1e-9, -2e-8, -0.0
+    x[::2] /= 40  # below the peak that is capped
+    x[7, :16], x[8, 30] = 0.5, 0.0000125
+    folder = tmp_path_factory.mktemp("small")
+    rows = pa.table({"vec_id": pa.array(range(200), pa.int64()), "embedding": pa.array(x.tolist(), pa.list_(pa.float32())), "label": pa.array([0] * 200, pa.int32())})
+    pq.write_table(rows, folder / "embeddings.parquet")
+    return str(folder)
+
+
+def same_bits(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    want = {i: np.array(v).tobytes() for i, v in con.execute(catalog.SQL[name]).fetchall()}
+    got = {i: np.array(v).tobytes() for i, v in catalog.QUERIES[name](spark, folder).collect()}
+    return got == want
+
+
+def test_fused_vectors_keep_signs_at_zero(spark, small):
+    assert same_bits(spark, small, "fuse_normalized")
