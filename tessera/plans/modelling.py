@@ -47,7 +47,7 @@ def wide_columns(spark, sf):
 
 @query(_E + ", n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x*x))) AS s FROM e) SELECT id, list_transform(v, lambda x: round(x / s, 6)) AS u FROM n")
 def l2_normalize(spark, sf):
-    return vectors(spark, sf).select("id", F.transform(V.l2_normalize(F.col("v")), lambda x: F.round(x, 6)).alias("u"))
+    return vectors(spark, sf).select("id", V.rounded(V.l2_normalize(F.col("v")), 6).alias("u"))
 
 
 @query(_F + ", m AS (SELECT pos, avg(x) AS mean, stddev_pop(x) AS std FROM f GROUP BY pos) SELECT id, CAST(f.pos AS INTEGER) AS pos, round((x - mean) / std, 6) AS z FROM f JOIN m ON f.pos = m.pos")

@@ -236,3 +236,7 @@ def same_bits(spark, folder, name):
 
 def test_fused_vectors_keep_signs_at_zero(spark, small):
     assert same_bits(spark, small, "fuse_normalized")
+
+
+def test_normalized_vectors_keep_signs_at_zero(spark, small):
+    assert same_bits(spark, small, "l2_normalize")
