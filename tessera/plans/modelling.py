@@ -84,7 +84,7 @@ def two_peaks_suppressed(spark, sf):
 @query(_E + ", t AS (SELECT id, list_transform(v, lambda x: x * 5) AS w FROM e), m AS (SELECT id, w, list_max(list_transform(w, lambda x: abs(x))) AS top, power(10, -0.05::DOUBLE) AS most FROM t) SELECT id, list_transform(w, lambda x: round(CASE WHEN top > most THEN x * (most / top) ELSE x END, 6)) AS w FROM m")
 def peak_cap(spark, sf):
     w = F.transform("v", lambda x: x * 5)
-    return vectors(spark, sf).select("id", F.transform(V.peak_cap(w), lambda x: F.round(x, 6)).alias("w"))
+    return vectors(spark, sf).select("id", V.rounded(V.peak_cap(w), 6).alias("w"))
 
 
 @query(_E + " SELECT id, CASE WHEN n >= 20 THEN len(list_slice(w, (len(w) - 29) // 2 + 1, (len(w) - 29) // 2 + 29)) END AS n, round(list_slice(w, (len(w) - 29) // 2 + 1, (len(w) - 29) // 2 + 29)[1], 6) AS first FROM (SELECT id, len(v) - id % 7 AS n, v[1:len(v) - id % 7] AS w FROM e)")

@@ -240,3 +240,7 @@ def test_fused_vectors_keep_signs_at_zero(spark, small):
 
 def test_normalized_vectors_keep_signs_at_zero(spark, small):
     assert same_bits(spark, small, "l2_normalize")
+
+
+def test_capped_vectors_keep_signs_at_zero(spark, small):
+    assert same_bits(spark, small, "peak_cap")
